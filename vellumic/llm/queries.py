@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumic.llm import chat_format, html_layout, neardup, pii, quality_rules, secret_scan, token_counts
+from vellumic.llm import chat_format, decontamination, html_layout, neardup, pii, quality_rules, secret_scan, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_table(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op7_html_text": op7_html_text,
     "op8_chat_format": op8_chat_format,
@@ -82,6 +87,28 @@ WITH RECURSIVE d AS (
 )
 SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
 FROM d JOIN reach ON a = doc_id LEFT JOIN size USING (doc_id) GROUP BY doc_id
+""",
+    "op4_decontamination": r"""
+WITH dw AS (
+  SELECT doc_id, p, w FROM (
+    SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p
+    FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents))
+), bw AS (
+  SELECT item_id, n, p, w FROM (
+    SELECT item_id, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS p
+    FROM (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark))
+  WHERE n >= 5
+), near AS (
+  SELECT doc_id, item_id, n, dw.p - bw.p AS off, count(*) AS agree, list(bw.p) AS ps
+  FROM dw JOIN bw USING (w) GROUP BY ALL HAVING 100 * count(*) >= 80 * least(20, n)
+), run AS (
+  SELECT doc_id, item_id, n, off, agree, max(c) AS best FROM (
+    SELECT doc_id, item_id, n, off, agree, s, len(list_filter(ps, lambda x: x >= s AND x < s + least(20, n))) AS c
+    FROM (SELECT *, unnest(range(n - least(20, n) + 1)) AS s FROM near)) GROUP BY ALL
+)
+SELECT doc_id, item_id, max(n)::BIGINT AS item_words, max(agree)::BIGINT AS n_agree, min(off)::BIGINT AS first_word
+FROM (SELECT *, rank() OVER (PARTITION BY doc_id, item_id ORDER BY agree DESC, off) AS r FROM run WHERE 100 * best >= 80 * least(20, n))
+WHERE r = 1 GROUP BY doc_id, item_id
 """,
     "op8_chat_format": r"""
 WITH t AS (
