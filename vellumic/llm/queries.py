@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumic.llm import chat_format, decontamination, html_layout, neardup, pii, quality_rules, secret_scan, token_counts
+from vellumic.llm import chat_format, decontamination, html_layout, mixing, neardup, pii, quality_rules, secret_scan, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_table(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.rules(spark))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.html_text(table(spark, sf_dir, "pages"))
 
@@ -60,16 +68,85 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_mixing": op2_mixing,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
+    "op6_url_filter": op6_url_filter,
     "op7_html_text": op7_html_text,
     "op8_chat_format": op8_chat_format,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 
+_FILL = """
+{0}_r AS (
+  SELECT *, capacity::DOUBLE / weight AS r FROM {0}
+), {0}_o AS (
+  SELECT *, greatest(0, given - coalesce(sum(capacity) OVER (PARTITION BY {1} ORDER BY r, {2} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::HUGEINT AS rest,
+    (sum(weight) OVER (PARTITION BY {1} ORDER BY r, {2} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS weights,
+    row_number() OVER (PARTITION BY {1} ORDER BY r, {2}) AS k FROM {0}_r
+), {0}_f AS (
+  SELECT *, min(CASE WHEN capacity * weights > rest * weight THEN k END) OVER (PARTITION BY {1}) AS f FROM {0}_o
+), {0}_b AS (
+  SELECT *, (CASE WHEN k >= f THEN least(capacity, max(CASE WHEN k = f THEN rest END) OVER (PARTITION BY {1}) * weight // max(CASE WHEN k = f THEN weights END) OVER (PARTITION BY {1}))
+    ELSE capacity END)::HUGEINT AS budget FROM {0}_f
+)"""
+
 ORACLES: dict[str, str] = {
+    "op2_mixing": r"""
+WITH d AS (
+  SELECT doc_id, lang AS language, source AS leaf, 'domain' || coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 3, 3) AS domain,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents
+), leaf0 AS (
+  SELECT domain, language, leaf, sum(n_tokens)::HUGEINT AS n_tokens, sum(n_tokens)::HUGEINT * 4 AS capacity, 1 AS weight FROM d GROUP BY ALL
+), top AS (
+  SELECT 0 AS root, domain, CASE domain WHEN 'domain0' THEN 5 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END AS weight, sum(capacity) AS capacity,
+    (SELECT sum(n_tokens) * 60 // 100 FROM leaf0) AS given FROM leaf0 GROUP BY domain
+), """
+    + _FILL.format("top", "root", "domain").strip()
+    + """, language AS (
+  SELECT l.domain, l.language, CASE l.language WHEN 'en' THEN 6 WHEN 'de' THEN 2 ELSE 1 END AS weight, sum(l.capacity) AS capacity, any_value(budget) AS given
+  FROM leaf0 l JOIN top_b USING (domain) GROUP BY l.domain, l.language
+), """
+    + _FILL.format("language", "domain", "language").strip()
+    + """, leaf AS (
+  SELECT l.*, b.budget AS given FROM leaf0 l JOIN language_b b ON l.domain = b.domain AND l.language = b.language
+), """
+    + _FILL.format("leaf", "domain, language", "leaf").strip()
+    + """, plan AS (
+  SELECT domain, language, leaf, (budget // n_tokens)::BIGINT AS whole, (budget % n_tokens)::BIGINT AS part FROM leaf_b WHERE n_tokens > 0
+), p AS (
+  SELECT d.*, whole, part, md5('42|' || whole || '|' || doc_id)[1:15] AS place FROM d JOIN plan USING (domain, language, leaf)
+), o AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, language, leaf ORDER BY place, doc_id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p
+)
+SELECT doc_id, domain, language, leaf, n_tokens, whole AS epoch FROM o WHERE start < part
+UNION ALL SELECT doc_id, domain, language, leaf, n_tokens, unnest(range(whole)) AS epoch FROM p
+""",
+    "op6_url_filter": r"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url,
+    CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT rid, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM p
+), base(rh, rp, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fit AS (
+  SELECT rid, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(rh || rp) DESC) AS k
+  FROM h JOIN base ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+), further(pattern) AS (
+  VALUES """
+    + ", ".join(f"('{p}')" for p, _ in url_filter.PATTERN_RULES)
+    + """
+), more AS (
+  SELECT rid, pattern, row_number() OVER (PARTITION BY rid ORDER BY length(pattern) DESC, pattern) AS k FROM h JOIN further ON regexp_matches(low, pattern)
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN pattern END AS pattern,
+  coalesce(verdict, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (rid) LEFT JOIN (SELECT rid, pattern FROM more WHERE k = 1) USING (rid)
+""",
     "op3_near_duplicates": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
