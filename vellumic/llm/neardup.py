@@ -38,6 +38,8 @@ TWO_TOKENS = 50
 SKETCH_SLACK = 4.1
 #: Pairs of a block whose shingles are matched at once, and shingles of a matrix product.
 COLUMNS = 4096
+#: Words of the filter that keeps other documents' texts where they are (16 bytes each).
+FILTER_WORDS = 1 << 20
 
 
 def features(df: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -193,6 +195,21 @@ def _exact_links(width: int):
     return run
 
 
+def _maybe_among(df: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of ``df`` whose id may be among ``ids``: all that are, and few others.
+
+    A one-hash filter of at most ``FILTER_WORDS`` 64-bit words is joined by broadcast, so that
+    texts which no candidate needs are not shuffled. Beyond that size it only filters less.
+    """
+    wanted = ids.agg(F.approx_count_distinct("id")).first()[0]
+    n_words = min(FILTER_WORDS, max(1024, wanted // 8))
+    bit = F.xxhash64("id", F.lit("filter"))
+    word = F.pmod(bit, F.lit(n_words))
+    mask = "shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(id, 'filter'), 40), 64) AS int))"
+    words = scratch.keep(ids.groupBy(word.alias("word")).agg(F.bit_or(F.expr(mask)).alias("bits")))
+    return df.join(F.broadcast(words), word == F.col("word")).where(F.expr(f"bits & {mask} <> 0")).drop("word", "bits")
+
+
 def near_classes(df: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(features, roots): features of (id, text), and (set_hash, root) of sets in larger components."""
     found = scratch.keep(features(df, width))
@@ -202,7 +219,7 @@ def near_classes(df: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[D
     units = candidate_units(reps, scratch)
     clusters = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_sketch_clusters, "cluster long, id long")
     clusters = scratch.keep(clusters.distinct())
-    texts = df.select("id", "text").join(clusters, "id").select("cluster", "id", "text")
+    texts = _maybe_among(df.select("id", "text"), clusters, scratch).join(clusters, "id").select("cluster", "id", "text")
     edges = texts.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_exact_links(width), "a long, b long")
     roots = components(edges, scratch)
     roots = reps.select("set_hash", "n", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
