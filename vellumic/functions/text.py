@@ -37,19 +37,19 @@ def _plain_forms() -> tuple[str, str, dict[str, str]]:
 
 
 _ONE, _FORM, _LONGER = _plain_forms()
-_LIGATURES = {c: _LONGER[c] for c in map(chr, range(0xFB00, 0xFB07))} | {"…": "...", "™": "tm", "№": "no", "½": "12", "¼": "14", "¾": "34"}
+_LIGATURES = {c: _LONGER[c] for c in map(chr, range(0xFB00, 0xFB07))} | {"…": "...", "™": "TM", "№": "No", "½": "12", "¼": "14", "¾": "34"}
 
 
 def fold(text: Column) -> Column:
-    """Lower case, without accents and anything outside ASCII.
+    """Lower case, then without accents and anything outside ASCII.
 
     Covers the characters of ``_BLOCKS`` and the usual ligatures; :func:`fold_exact` covers
     all of Unicode at the price of a trip to Python.
     """
-    out = text
+    out = F.lower(text)
     for c, plain in _LIGATURES.items():
         out = F.replace(out, F.lit(c), F.lit(plain))
-    return F.lower(F.regexp_replace(F.translate(out, _ONE, _FORM), r"[^\x00-\x7F]", ""))
+    return F.regexp_replace(F.translate(out, _ONE, _FORM), r"[^\x00-\x7F]", "")
 
 
 @F.arrow_udf(StringType())
@@ -111,7 +111,7 @@ def clean_heading(text: Column) -> Column:
 def clean_epub_title(raw: Column) -> Column:
     """A book's title without a file ending or a trailing site in brackets."""
     ending = r"(?i)\.(?:epub|pdf|mobi|azw3)$"
-    out = F.regexp_replace(trimmed(F.regexp_replace(raw, r"\\\\([()])", "$1")), ending, "")
+    out = F.regexp_replace(trimmed(F.regexp_replace(raw, r"\\([()])", "$1")), ending, "")
     out = trimmed(F.regexp_replace(out, r"(?i)[(\[][^()\[\]]*\.(?:com|net|org|info|ru)[^()\[\]]*[)\]]\s*$", ""))
     return F.btrim(F.regexp_replace(F.regexp_replace(out, ending, ""), r"\s{2,}", " "), F.lit(" -–—_"))
 
@@ -162,7 +162,7 @@ def snippet(text: Column, terms: list[str], width: int = 240) -> Column:
     at = F.coalesce(*(F.nullif(F.instr(plain, t), F.lit(0)) for t in terms))
     start = F.greatest(F.lit(1), at - width // 2)
     line = trimmed(F.regexp_replace(F.substring(text, start, F.lit(width)), r"(?U)\s+", " "))
-    return F.coalesce(F.concat(F.lit("..."), line, F.lit("...")), F.lit(""))
+    return F.when(at.isNotNull(), F.concat(F.lit("..."), line, F.lit("..."))).otherwise("")
 
 
 def local_name(tag: Column) -> Column:
