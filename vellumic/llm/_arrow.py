@@ -25,6 +25,18 @@ def extended(before: Iterable[T.StructField], ddl: str, after: Iterable[T.Struct
     return T.StructType([*before, *T.StructType.fromDDL(ddl).fields, *after])
 
 
+def packed(df: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    """(text, more, rest): a table whose other columns, whatever their names, are one struct."""
+    rest = [F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("rest")] if len(df.columns) > 1 else []
+    return df.select(named(text_col, "text"), *more, *rest)
+
+
+def unpacked(out: DataFrame, columns: list[str], text_col: str, **instead: Column) -> DataFrame:
+    """The columns that :func:`packed` took together, some of them replaced."""
+    pick = lambda c: F.col("text") if c == text_col else instead[c] if c in instead else F.col("rest").getField(c)
+    return out.select(*(pick(c).alias(c) for c in columns))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The strings of a column, null as the empty string."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumic.llm._arrow import extended, map_slices, named
+from vellumic.llm._arrow import extended, map_slices, named, packed, unpacked
 from vellumic.llm._shingles import mixed, word_hashes, words
 
 #: Masks of weight 6 and span 8 to 11: of runs of 20 words with 4 random substitutions they
@@ -160,12 +160,12 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text"
 
     Rows with a null or empty text stay. Items as in :func:`contaminated`.
     """
+    rows = packed(df, text_col)
     for shared in blocks(benchmark, item_col, item_text_col):
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             seeds, tables = shared.value, _tables(shared.value)
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            return batch.filter(pa.array([not overlaps(x, seeds, tables) for x in texts], pa.bool_()))
+            return batch.filter(pa.array([not overlaps(x, seeds, tables) for x in batch.column(0).to_pylist()], pa.bool_()))
 
-        df = map_slices(df, text_col, df.schema, run)
-    return df
+        rows = map_slices(rows, "text", rows.schema, run)
+    return unpacked(rows, df.columns, text_col)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumic.llm import _spans
-from vellumic.llm._arrow import extended, map_slices, named, texts_of
+from vellumic.llm._arrow import extended, map_slices, named, packed, texts_of, unpacked
 
 # The base patterns. A run of digits cannot match from its middle if it does
 # not from its start, so the look-behind of IP changes no match and keeps long runs linear.
@@ -147,17 +147,14 @@ def pii_mask(df: DataFrame, *, text_col: str = "text", length_col: str | None =
     All other columns stay, but ``length_col``, where there is one, gets the new length in
     code points. A null text stays null.
     """
-    has_length = length_col in df.columns
-    rest = [c for c in df.columns if c != text_col]
-    packed = df.select(named(text_col, "text"), *([F.struct(*(f"`{c}`" for c in rest)).alias("rest")] if rest else []))
-    schema = extended([], "text string, size long", packed.schema[1:])
+    rows = packed(df, text_col)
+    schema = extended([], "text string, size long", rows.schema[1:])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [None if t is None else _spans.masked(t, scan(t)[1]) for t in batch.column(0).to_pylist()]
         sizes = [None if t is None else len(t) for t in texts]
         return pa.record_batch([pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), *batch.columns[1:]], ["text", "size", *batch.schema.names[1:]])
 
-    out = map_slices(packed, "text", schema, run)
-    kinds = dict(df.dtypes)
-    pick = lambda c: out["text"] if c == text_col else out["size"].cast(kinds[c]) if has_length and c == length_col else out["rest"].getField(c)
-    return out.select(*(pick(c).alias(c) for c in df.columns))
+    out = map_slices(rows, "text", schema, run)
+    length = {length_col: F.col("size").cast(df.schema[length_col].dataType)} if length_col in df.columns else {}
+    return unpacked(out, df.columns, text_col, **length)

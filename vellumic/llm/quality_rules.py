@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumic.llm._arrow import extended, map_slices, named, texts_of
+from vellumic.llm._arrow import extended, map_slices, named, packed, texts_of, unpacked
 from vellumic.scratch import Scratch
 
 WINDOW = 8
@@ -155,6 +155,5 @@ def quality_filter(df: DataFrame, *, text_col: str = "text", host_col: str = "so
     """
     scratch = Scratch(df.sparkSession, "quality")
     marks = measured(df.select(named(host_col, "host"), named(text_col, "text"))).select("host", "soft_failed")
-    packed = df.select(named(text_col, "text"), named(host_col, "host"), F.struct(*(f"`{c}`" for c in df.columns if c != text_col)).alias("rest"))
-    out = _flagged(measured(packed), marks, scratch).where(_kept())
-    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in df.columns))
+    out = _flagged(measured(packed(df, text_col, named(host_col, "host"))), marks, scratch).where(_kept())
+    return unpacked(out, df.columns, text_col)
