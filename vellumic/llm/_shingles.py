@@ -12,7 +12,7 @@ _S29, _S32 = np.uint64(29), np.uint64(32)
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    MOST = 1 << 19
+    MOST = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
