@@ -31,11 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written below :func:`shared_dir`, reread without lineage and with known sizes."""
+    """Tables written below :func:`shared_dir`, reread without lineage and with known sizes.
+
+    They lie in one folder for each application, to be deleted when it has ended: results are
+    read lazily, so nothing here can tell when a table is read for the last time.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.base = f"{shared_dir(spark)}/vellumic-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
