@@ -26,7 +26,7 @@ def index_writer(chapters: DataFrame, index_path: str, checkpoint: str) -> DataS
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.groupBy("chapter").agg(F.max_by(F.struct("body_hash", "useful", "body"), F.monotonically_increasing_id()).alias("v")).select("chapter", "v.*")
+        rows = batch.withColumn("k", F.monotonically_increasing_id()).groupBy("chapter").agg(F.max_by(F.struct("body_hash", "useful", "body"), "k").alias("v")).select("chapter", "v.*")
         cut = P.passages(rows.where("useful"), "chapter", "body", "body_hash")
         gone = rows.where("NOT useful").select("chapter", "body_hash", F.lit(None).cast("long").alias("passage_no"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("text"))
         cut.select(*gone.columns).unionByName(gone).write.mode("overwrite").parquet(f"{index_path}/version={number}")
