@@ -162,6 +162,19 @@ def test_graph_by_hand(spark):
     assert [(r.concept, r.categories, r.documents) for r in found] == [("rio", ["x", "y"], ["b", "a"])]
 
 
+def test_cosines_find_every_pair(spark):
+    import random
+
+    rng = random.Random(9)
+    vectors = {d: {t: rng.random() for t in rng.sample(range(12), rng.randint(1, 8))} for d in range(25)}
+    unit = {d: {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()} for d, v in vectors.items()}
+    weights = spark.createDataFrame([(d, t, x) for d, v in unit.items() for t, x in v.items()], "d long, term long, weight double")
+    every = {(a, b): sum(x * unit[b].get(t, 0) for t, x in unit[a].items()) for a in unit for b in unit if a < b}
+    for least in (0.09, 0.3, 0.7, 0.95):
+        got = {(r.a, r.b): r.cosine for r in G.cosines(weights, "d", least).collect()}
+        assert got == pytest.approx({p: c for p, c in every.items() if c >= least})
+
+
 def test_edge_cut_is_an_order_statistic(spark):
     import random
 
@@ -171,6 +184,7 @@ def test_edge_cut_is_an_order_statistic(spark):
         pairs = spark.createDataFrame([(a, b, v) for (a, b), v in values.items()], "a long, b long, cosine double")
         total = n * (n - 1) // 2
         every = sorted([*values.values(), *[0.0] * (total - len(values))])
+        pairs = pairs.where("cosine >= 0.09")
         assert G.edge_cut(pairs, n) == max(0.09, every[int(total * 0.9)])
 
 

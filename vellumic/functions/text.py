@@ -46,10 +46,12 @@ def fold(text: Column) -> Column:
     Covers the characters of ``_BLOCKS`` and the usual ligatures; :func:`fold_exact` covers
     all of Unicode at the price of a trip to Python.
     """
-    out = F.lower(text)
+    low = F.lower(text)
+    out = low
     for c, plain in _LIGATURES.items():
         out = F.replace(out, F.lit(c), F.lit(plain))
-    return F.regexp_replace(F.translate(out, _ONE, _FORM), r"[^\x00-\x7F]", "")
+    out = F.regexp_replace(F.translate(out, _ONE, _FORM), r"[^\x00-\x7F]", "")
+    return F.when(F.octet_length(text) == F.char_length(text), low).otherwise(out)  # ASCII needs no more
 
 
 @F.arrow_udf(StringType())

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from vellumic.functions import text as T
 from vellumic.operators.ranking import ranked
+from vellumic.scratch import Scratch
 
 # Fixed values of the scoring.
 K1, B = 1.5, 0.75
 RRF_K, RRF_CUT = 60, 200
+#: Distinct terms of all questions that are looked up as a literal set.
+MOST_TERMS = 20_000
 
 
 def tokenized(chapters: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
@@ -55,14 +58,24 @@ def questions_of(spark, texts: Sequence[str]) -> DataFrame:
 def bm25(lex: DataFrame, questions: DataFrame, key: str, *keep: str) -> DataFrame:
     """(qid, key, keep, score, n_terms) of every chapter that has a term of a question.
 
-    Only tokens that some question asks for leave their partition, already counted.
+    Chapters are tokenized once: what is kept of each is its length and the tokens that some
+    question asks for, and all statistics come from that. The questions' terms are a stated
+    set; up to ``MOST_TERMS`` of them are a literal set, more are joined.
     """
-    wanted = query_terms(questions)
-    asked = wanted.agg(F.collect_set("term").alias("terms"))
-    held = lex.crossJoin(F.broadcast(asked)).select(key, *keep, "n", F.filter("tokens", lambda t: F.array_contains(F.col("terms"), t)).alias("tokens"))
-    tf = held.select(key, *keep, "n", F.explode("tokens").alias("term")).groupBy(key, *keep, "n", "term").agg(F.count("*").alias("tf"))
+    scratch = Scratch(lex.sparkSession, "bm25")
+    wanted = scratch.keep(query_terms(questions))
+    terms = [r[0] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(terms) <= MOST_TERMS:
+        asked = F.filter("tokens", lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
+        held = scratch.keep(lex.select(key, *keep, "n", asked.alias("tokens")))
+        tf = held.select(key, *keep, "n", F.explode("tokens").alias("term"))
+    else:
+        held = lex
+        tf = lex.select(key, *keep, "n", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    tf = tf.groupBy(key, *keep, "n", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = tf.join(F.broadcast(wanted.join(df, "term").crossJoin(totals(lex))), "term")
+    weights = wanted.join(df, "term").crossJoin(F.broadcast(totals(held)))
+    rows = tf.join(F.broadcast(weights) if len(terms) <= MOST_TERMS else weights, "term")
     part = idf() * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
     scored = rows.groupBy("qid", key, *keep).agg(F.sum(F.col("times") * part).alias("score"), F.count("*").alias("n_terms"))
     return scored.where("score <> 0")
