@@ -89,9 +89,10 @@ def test_front_matter_round_trip(spark):
 def test_manifest_versions(spark, tmp_path):
     path = str(tmp_path / "m")
     for k in range(3):
-        C.write_manifest(spark, spark.createDataFrame([("s", k)], "sha string, k int"), path)
+        C.write_version(spark, spark.createDataFrame([("s", k)], "sha string, k int"), path)
     (tmp_path / "m" / "version=9").mkdir()
-    assert C.read_manifest(spark, path).first().k == 2
+    assert C.read_version(spark, str(tmp_path / "none")) is None
+    assert C.read_version(spark, path).first().k == 2
 
 
 def test_partitions_are_replaced_one_by_one(spark, tmp_path):

@@ -63,19 +63,23 @@ def write_chapters(chapters: DataFrame, path: str, category: str = "category") -
     chapters.write.partitionBy(category).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def write_manifest(spark: SparkSession, manifest: DataFrame, path: str) -> None:
-    """A new version of the manifest beside the old ones; a reader sees whole versions only."""
+def write_version(spark: SparkSession, table: DataFrame, path: str) -> None:
+    """A new version of a table beside the old ones; a reader sees whole versions only."""
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     taken = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if "version=" in s.getPath().getName()] if fs.exists(root) else []
-    manifest.write.mode("errorifexists").parquet(f"{path}/version={max(taken, default=-1) + 1}")
+    table.write.mode("errorifexists").parquet(f"{path}/version={max(taken, default=-1) + 1}")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The last version that was committed as a whole."""
+def read_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version that was committed as a whole; None if there is none."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
     good = [s.getPath() for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    if not good:
+        return None
     last = max(good, key=lambda p: int(p.getName().split("=")[1]))
     return spark.read.parquet(last.toString())
 
