@@ -51,12 +51,12 @@ def test_parts_count_as_the_whole(text, chars):
 
 
 # Near duplicates
-def brute_components(docs):
+def brute_components(docs, percent=85):
     sets = {i: set(shingle_set(t).tolist()) for i, t in docs}
     root = {i: i for i, _ in docs}
     for a, b in combinations(sets, 2):
         both = len(sets[a] & sets[b])
-        if sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             x, y = sorted((root[a], root[b]))
             root = {i: x if r == y else r for i, r in root.items()}
     return {i: (len(sets[i]), root[i]) for i, _ in docs}
@@ -86,10 +86,15 @@ def near_copies(seed=5):
     return docs
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates(spark, percent):
     docs = near_copies()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == brute_components(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent).collect()}
+    assert got == brute_components(docs, percent)
+
+
+def test_tokens_of_a_step():
+    assert [neardup.tokens_of_step(p) for p in (85, 80, 50, 100)] == [4, 3, 1, 65]
 
 
 def test_deep_nodes_and_blocks(spark, monkeypatch):

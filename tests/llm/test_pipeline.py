@@ -44,7 +44,7 @@ def test_quality(steps, sf_dir):
 
 def test_near_duplicates(steps):
     before, after = steps[1]
-    roots = brute_components([(r[0], r[1]) for r in table(before)])
+    roots = brute_components([(r[0], r[1]) for r in table(before)], 80)
     assert sorted(table(after)) == sorted(r for r in table(before) if roots[r[0]][1] == r[0])
 
 

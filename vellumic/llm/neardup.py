@@ -2,21 +2,22 @@
 
 Texts with the same shingle set are one class, with the least id as its representative.
 Representatives carry minwise tokens; each of ``TREES`` independent trees sends them down
-paths: a hash of the node chooses two or three sets of ``STEP`` tokens, and for each set a
-node has a child for each combination of their values. Nodes of up to ``SMALL`` members are compared exhaustively, first on sketches, then
+paths: a hash of the node chooses two or three sets of tokens (four in a set at 85 percent,
+three at 80), and for each set a node has a child for each combination of their values. Nodes of up to ``SMALL`` members are compared exhaustively, first on sketches, then
 on full shingle sets. A node that is still larger after ``LEVELS`` levels is compared
 exhaustively as well, in blocks that are dealt out over tasks, so nothing is capped.
 
 Method: T. Christiani, R. Pagh, J. Sivertsen, "Scalable and Robust Set Similarity Join", 2018.
-Recall: a pair at the threshold meets in a small node of a given tree with probability 0.85,
-so 8 trees miss it with 3e-7. A step keeps such a pair together in a given child with
-probability 0.52 (0.85 to the fourth), in one of 2.4 children on average with 0.83; after two
+Recall: a pair at the threshold of 85 percent meets in a small node of a given tree with
+probability 0.85, so 8 trees miss it with 3e-7 (3e-6 at 80 percent). A step keeps such a pair
+together in a given child with probability 0.52 (0.85 to the fourth), in one of 2.4 children on average with 0.83; after two
 steps 8 trees miss it with 6e-4, after three with 2e-3. Closer pairs are missed less often.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +33,9 @@ from vellumic.scratch import Scratch
 WIDTH = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-TREES, SKETCH, SMALL, LEVELS, STEP = 8, 128, 192, 4, 4
+TREES, SKETCH, SMALL, LEVELS = 8, 128, 192, 4
+#: Probability that a step keeps a pair at the threshold together in a given child, about.
+STEP_KEEPS = 0.52
 #: Share of nodes, in percent, that branch over three sets of tokens and not two.
 THREE_SETS = 40
 #: Equal tokens of a sketch, less four standard deviations, from which sets are compared.
@@ -73,7 +76,12 @@ def _counted(members: DataFrame, scratch: Scratch) -> DataFrame:
     return members.join(sizes, "node")
 
 
-def candidate_units(reps: DataFrame, scratch: Scratch) -> DataFrame:
+def tokens_of_step(percent: int) -> int:
+    """Tokens in a set, so that a pair at the threshold agrees in all with ``STEP_KEEPS``."""
+    return max(1, round(math.log(STEP_KEEPS) / math.log(min(percent, 99) / 100)))
+
+
+def candidate_units(reps: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(unit, id, sketch): what has to be compared within each unit of bounded size."""
     level = reps.select("id", F.posexplode("keys").alias("tree", "key")).select("id", F.xxhash64("tree", "key").alias("node"))
     level = scratch.keep(_counted(level, scratch).select("id", "node", "c"))
@@ -86,7 +94,7 @@ def candidate_units(reps: DataFrame, scratch: Scratch) -> DataFrame:
         three = F.pmod(F.xxhash64("node", F.lit(f"three{depth}")), F.lit(100)) < THREE_SETS
         sets = F.when(three, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
         child = large.select("id", "sketch", "node", F.explode(sets).alias("s"))
-        places = [F.pmod(F.xxhash64("node", "s", F.lit(k), F.lit(depth)), F.lit(SKETCH)).cast("int") for k in range(STEP)]
+        places = [F.pmod(F.xxhash64("node", "s", F.lit(k), F.lit(depth)), F.lit(SKETCH)).cast("int") for k in range(tokens_of_step(percent))]
         values = [F.substring("sketch", 2 * place + 1, F.lit(2)) for place in places]
         child = child.select("id", "sketch", F.xxhash64("node", "s", *values).alias("node"))
         level = scratch.keep(_counted(child, scratch))
@@ -125,30 +133,34 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([find(x) for x in range(n)])
 
 
-def _sketch_clusters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cluster, id): members of a unit joined by sketches that may belong to linked texts."""
-    p = PERCENT / 100
+def _sketch_clusters(percent: int):
+    p = percent / 100
     least = int(SKETCH * p - SKETCH_SLACK * (SKETCH * p * (1 - p)) ** 0.5)
-    clusters, members = [], []
-    for unit in groups(batches, "unit"):
-        ids, first = np.unique(unit["id"].to_numpy(), return_index=True)
-        if len(ids) > 1:
-            sketches = np.frombuffer(b"".join(unit["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)[first]
-            a, b = [], []
-            for i in range(len(ids) - 1):
-                near = np.flatnonzero((sketches[i + 1 :] == sketches[i]).sum(axis=1) >= least) + i + 1
-                a.append(np.full(len(near), i))
-                b.append(near)
-            label = _labels(len(ids), np.concatenate(a), np.concatenate(b))
-            for root in np.flatnonzero(np.bincount(label) > 1):
-                group = ids[label == root]
-                clusters.append(np.full(len(group), int.from_bytes(hashlib.blake2b(group.tobytes(), digest_size=8).digest(), "little", signed=True)))
-                members.append(group)
-        if len(clusters) >= 1000:
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(cluster, id): members of a unit joined by sketches that may belong to linked texts."""
+        clusters, members = [], []
+        for unit in groups(batches, "unit"):
+            ids, first = np.unique(unit["id"].to_numpy(), return_index=True)
+            if len(ids) > 1:
+                sketches = np.frombuffer(b"".join(unit["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)[first]
+                a, b = [], []
+                for i in range(len(ids) - 1):
+                    near = np.flatnonzero((sketches[i + 1 :] == sketches[i]).sum(axis=1) >= least) + i + 1
+                    a.append(np.full(len(near), i))
+                    b.append(near)
+                label = _labels(len(ids), np.concatenate(a), np.concatenate(b))
+                for root in np.flatnonzero(np.bincount(label) > 1):
+                    group = ids[label == root]
+                    clusters.append(np.full(len(group), int.from_bytes(hashlib.blake2b(group.tobytes(), digest_size=8).digest(), "little", signed=True)))
+                    members.append(group)
+            if len(clusters) >= 1000:
+                yield pa.record_batch([np.concatenate(clusters), np.concatenate(members)], ["cluster", "id"])
+                clusters, members = [], []
+        if clusters:
             yield pa.record_batch([np.concatenate(clusters), np.concatenate(members)], ["cluster", "id"])
-            clusters, members = [], []
-    if clusters:
-        yield pa.record_batch([np.concatenate(clusters), np.concatenate(members)], ["cluster", "id"])
+
+    return run
 
 
 def linked(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +186,7 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray,
     return np.nonzero(hit)
 
 
-def _exact_links(width: int):
+def _exact_links(width: int, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b): a star for each component of linked texts in a cluster."""
 
@@ -188,7 +200,7 @@ def _exact_links(width: int):
         for cluster in groups(lean(), "cluster"):
             ids = cluster["id"].to_numpy()
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in cluster["set"]]
-            a, b = linked(sets)
+            a, b = linked(sets, percent)
             if len(a):
                 label = _labels(len(ids), a, b)
                 on = np.flatnonzero(label != np.arange(len(ids)))
@@ -212,34 +224,35 @@ def _maybe_among(df: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     return df.join(F.broadcast(words), word == F.col("word")).where(F.expr(f"bits & {mask} <> 0")).drop("word", "bits")
 
 
-def near_classes(df: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+def near_classes(df: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(features, roots): features of (id, text), and (set_hash, root) of sets in larger components."""
     found = scratch.keep(features(df, width))
     reps = scratch.keep(
         found.where("set_hash IS NOT NULL AND id IS NOT NULL").groupBy("set_hash").agg(F.min(F.struct("id", "keys", "sketch")).alias("r"), F.count("*").alias("n")).select("set_hash", "n", "r.id", "r.keys", "r.sketch")
     )
-    units = candidate_units(reps, scratch)
-    clusters = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_sketch_clusters, "cluster long, id long")
+    units = candidate_units(reps, scratch, percent)
+    clusters = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_sketch_clusters(percent), "cluster long, id long")
     clusters = scratch.keep(clusters.distinct())
     texts = _maybe_among(df.select("id", "text"), clusters, scratch).join(clusters, "id").select("cluster", "id", "text")
-    edges = texts.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_exact_links(width), "a long, b long")
+    edges = texts.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_exact_links(width, percent), "a long, b long")
     roots = components(edges, scratch)
     roots = reps.select("set_hash", "n", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     return found, scratch.keep(roots.where("n > 1 OR root IS NOT NULL").select("set_hash", F.coalesce("root", "id").alias("root")))
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The near-duplicate component of every document.
 
     Returns ``id_col`` (long), ``n_shingles``, ``component_id`` (least id reachable over
-    links, the document's own included) and ``kept`` (it is that least id). Texts that are
+    links, the document's own included) and ``kept`` (it is that least id). Links join texts
+    with 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles. Texts that are
     null, empty or without words have an empty set and are linked with nothing. A row with a
     null id is linked with nothing: its component is null and it is kept. Repeated rows have
     the same id, so they share a component and are kept or not together. Other columns are
     not read, an empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "neardup")
-    found, roots = near_classes(df.select(named(id_col, "id"), named(text_col, "text")), scratch)
+    found, roots = near_classes(df.select(named(id_col, "id"), named(text_col, "text")), scratch, width, percent)
     # Texts without words get a key of their own, so that they do not meet in one task.
     own = F.coalesce("set_hash", F.col("id").cast("string").cast("binary"))
     out = found.select("id", "n_shingles", own.alias("set_hash")).join(roots, "set_hash", "left")
@@ -247,14 +260,14 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def near_duplicate_filter(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_filter(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with the columns of ``df``: that of the least id.
 
     Rows that repeat a kept id are one document, of which one row stays. Nulls as in
     :func:`near_duplicates`.
     """
     scratch = Scratch(df.sparkSession, "neardup")
-    marks = scratch.keep(near_duplicates(df, id_col=id_col, text_col=text_col))
+    marks = scratch.keep(near_duplicates(df, id_col=id_col, text_col=text_col, width=width, percent=percent))
     gone = scratch.keep(marks.where("NOT kept").select(F.col(id_col).alias("__gone")).distinct())
     out = df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
     again = scratch.keep(marks.where("kept").where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again"))
