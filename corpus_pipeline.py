@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from vellumic.llm import decontamination, mixing, neardup, pii, quality_rules
 from vellumic.scratch import Scratch
 
+#: Documents of which five-word shingles agree to at least this part, in percent, are one group.
+SIMILARITY = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -19,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the least id."""
-    return neardup.near_duplicate_filter(docs)
+    """One document of each group of 80 percent or more stays, that of the least id."""
+    return neardup.near_duplicate_filter(docs, percent=SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
