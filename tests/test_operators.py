@@ -175,6 +175,14 @@ def test_cosines_find_every_pair(spark):
         assert got == pytest.approx({p: c for p, c in every.items() if c >= least})
 
 
+def test_common_terms_pair_nothing_that_matters(spark):
+    """A light term that all share forms no pair, and the others are found in full."""
+    rows = [(d, t, x) for d in range(60) for t, x in (("all", 0.1), (f"pair{d // 2}", 0.7), (f"own{d}", math.sqrt(1 - 0.01 - 0.49)))]
+    weights = spark.createDataFrame(rows, "d long, term string, weight double")
+    got = {(r.a, r.b): r.cosine for r in G.cosines(weights, "d", 0.4).collect()}
+    assert got == pytest.approx({(d, d + 1): 0.5 for d in range(0, 60, 2)})
+
+
 def test_edge_cut_is_an_order_statistic(spark):
     import random
 

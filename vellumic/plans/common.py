@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-Q1, Q2 = "thble thtion ering", "attion erble oning"
+from vellumic.sources.tables import table
 
+__all__ = ["FOLD", "Q1", "Q2", "bm25_sql", "lex_sql", "table", "tokens_sql"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+Q1, Q2 = "thble thtion ering", "attion erble oning"
 
 
 #: DuckDB: the folded text of a column, its tokens, and the chapters as a common table.
