@@ -8,7 +8,7 @@ from vellumic.operators import evaluate as E
 from vellumic.operators import incremental as I
 from vellumic.operators import lexical as L
 from vellumic.operators.ranking import ranked
-from vellumic.plans.common import Q1, bm25_sql, lex_sql, table
+from vellumic.plans.common import lex_sql, table
 from vellumic.streaming import events as V
 
 
