@@ -83,23 +83,31 @@ def agreement(item: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, bool
     return int(sums[-1]), bool(100 * (sums[run:] - sums[:-run]).max() >= AGREE * run)
 
 
-def overlaps(text: str | None, seeds: Seeds, tables: list[tuple]) -> dict[int, tuple[int, int]]:
-    """Item number to (words that agree, first word) of its best alignment, of those that count."""
-    doc = word_hashes(words(text))
-    tried: set[tuple[int, int]] = set()
-    best: dict[int, tuple[int, int]] = {}
+def overlaps(texts: list[str | None], seeds: Seeds, tables: list[tuple]) -> list[dict[int, tuple[int, int]]]:
+    """Of each text: item number to (words that agree, first word) of its best alignment that counts.
+
+    All texts are hashed as one sequence; spans that run over a text's end are left out.
+    """
+    docs = [words(text) for text in texts]
+    ends = np.cumsum([len(d) for d in docs])
+    sequence = word_hashes([w for d in docs for w in d])
+    tried: set[tuple[int, int, int]] = set()
     for mask, keys, item, at, sieve in tables:
-        hashes = masked_hashes(doc, mask)
+        hashes = masked_hashes(sequence, mask)
         spots = np.flatnonzero(sieve[hashes >> np.uint64(64 - _FILTER_BITS)])
-        if not len(spots):
-            continue
+        doc = np.searchsorted(ends, spots, "right")
+        inside = spots + len(mask) <= ends[np.minimum(doc, len(ends) - 1)]
+        spots, doc = spots[inside], doc[inside]
         lo, hi = np.searchsorted(keys, hashes[spots], "left"), np.searchsorted(keys, hashes[spots], "right")
-        for p, a, b in zip(spots[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-            tried.update(zip(item[a:b].tolist(), (p - at[a:b]).tolist()))
-    for k, offset in sorted(tried):
-        agree, counts = agreement(seeds.words[k], doc, offset)
-        if counts and (k not in best or agree > best[k][0]):
-            best[k] = agree, offset
+        hit = hi > lo
+        for p, d, a, b in zip(spots[hit].tolist(), doc[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
+            first = p - (int(ends[d]) - len(docs[d]))
+            tried.update((d, k, first - q) for k, q in zip(item[a:b].tolist(), at[a:b].tolist()))
+    best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+    for d, k, offset in sorted(tried):
+        agree, counts = agreement(seeds.words[k], sequence[ends[d] - len(docs[d]) : ends[d]], offset)
+        if counts and (k not in best[d] or agree > best[d][k][0]):
+            best[d][k] = agree, offset
     return best
 
 
@@ -142,8 +150,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             seeds, tables, found, row = shared.value, _tables(shared.value), [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                for item, (agree, offset) in overlaps(text, seeds, tables).items():
+            for k, best in enumerate(overlaps(batch.column(1).to_pylist(), seeds, tables)):
+                for item, (agree, offset) in best.items():
                     found.append((seeds.ids[item], len(seeds.words[item]), agree, offset))
                     row.append(k)
             columns = list(zip(*found)) or [()] * 4
@@ -165,7 +173,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text"
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             seeds, tables = shared.value, _tables(shared.value)
-            return batch.filter(pa.array([not overlaps(x, seeds, tables) for x in batch.column(0).to_pylist()], pa.bool_()))
+            return batch.filter(pa.array([not best for best in overlaps(batch.column(0).to_pylist(), seeds, tables)], pa.bool_()))
 
         rows = map_slices(rows, "text", rows.schema, run)
     return unpacked(rows, df.columns, text_col)
