@@ -116,16 +116,25 @@ def test_exact_links(sets):
 
 # Decontamination
 def brute_overlap(text, item):
-    """Whether some alignment has a run of 20 words (or the item) of which 80 % agree."""
+    """Whether some alignment has a run of 20 words (or the item) of which 80 % agree, or one of 13 words that all do."""
     doc, words = text.lower().split(), item.lower().split()
-    run = min(20, len(words))
+    run, exact = min(20, len(words)), min(13, len(words))
     for offset in range(-len(words) + 1, len(doc)):
         same = [0 <= offset + k < len(doc) and doc[offset + k] == w for k, w in enumerate(words)]
         if any(100 * sum(same[s : s + run]) >= 80 * run for s in range(len(words) - run + 1)):
             return True
+        if any(all(same[s : s + exact]) for s in range(len(words) - exact + 1)):
+            return True
     return False
 
 
+def test_parts_of_items():
+    item = " ".join(f"i{k}" for k in range(40))
+    seeds = decontamination.Seeds([(7, item)])
+    part = lambda n: "x y z " + " ".join(item.split()[9 : 9 + n]) + " a b c"
+    assert [len(d) for d in decontamination.overlaps([part(12), part(13), part(30)], seeds, seeds.unpacked())] == [0, 1, 1]
+
+
 def test_substituted_passages_are_found():
     rng = random.Random(1)
     vocabulary = [f"t{k}" for k in range(300)]

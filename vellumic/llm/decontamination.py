@@ -3,7 +3,8 @@
 Fixed masks pick some words of a span and ignore the others; training and test spans whose
 picked words agree are joined on a hash. Each hit fixes an alignment of an item with a
 document, and the alignment counts if some run of ``RUN`` aligned words agrees in at least
-``AGREE`` percent of its words, so single substituted words hide nothing.
+``AGREE`` percent of its words, so single substituted words hide nothing, or some run of
+``EXACT`` words in all, so shorter parts of an item are found too.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from vellumic.llm._shingles import mixed, word_hashes, words
 #: Masks of weight 6 and span 8 to 11: of runs of 20 words with 4 random substitutions they
 #: hit more than 99.9 %, of runs of 15 words with 3 substitutions 98 %.
 MASKS = ("11010111", "11100111", "1011101100", "1110110001", "110011011", "1111011")
-RUN, AGREE = 20, 80
+RUN, AGREE, EXACT = 20, 80, 13
 #: Items of fewer words than LEAST match nothing; below WHOLE words the whole item is the seed.
 LEAST, WHOLE = 5, 12
 #: Words of benchmark items that one pass broadcasts (about 6 seeds of 24 bytes a word).
@@ -78,9 +79,10 @@ def agreement(item: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, bool
     same = np.zeros(len(item), bool)  # words beyond the document's ends do not agree
     if lo < hi:
         same[lo:hi] = item[lo:hi] == doc[offset + lo : offset + hi]
-    run = min(RUN, len(item))
     sums = np.concatenate([[0], np.cumsum(same)])
-    return int(sums[-1]), bool(100 * (sums[run:] - sums[:-run]).max() >= AGREE * run)
+    most = lambda run: (sums[run:] - sums[:-run]).max()
+    run, exact = min(RUN, len(item)), min(EXACT, len(item))
+    return int(sums[-1]), bool(100 * most(run) >= AGREE * run or most(exact) == exact)
 
 
 def overlaps(texts: list[str | None], seeds: Seeds, tables: list[tuple]) -> list[dict[int, tuple[int, int]]]:

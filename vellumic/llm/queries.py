@@ -179,14 +179,15 @@ WITH dw AS (
   WHERE n >= 5
 ), near AS (
   SELECT doc_id, item_id, n, dw.p - bw.p AS off, count(*) AS agree, list(bw.p) AS ps
-  FROM dw JOIN bw USING (w) GROUP BY ALL HAVING 100 * count(*) >= 80 * least(20, n)
+  FROM dw JOIN bw USING (w) GROUP BY ALL HAVING count(*) >= least(13, 0.8 * least(20, n))
 ), run AS (
-  SELECT doc_id, item_id, n, off, agree, max(c) AS best FROM (
-    SELECT doc_id, item_id, n, off, agree, s, len(list_filter(ps, lambda x: x >= s AND x < s + least(20, n))) AS c
-    FROM (SELECT *, unnest(range(n - least(20, n) + 1)) AS s FROM near)) GROUP BY ALL
+  SELECT doc_id, item_id, n, off, agree,
+    bool_or(s + least(20, n) <= n AND 100 * len(list_filter(ps, lambda x: x >= s AND x < s + least(20, n))) >= 80 * least(20, n)
+      OR s + least(13, n) <= n AND len(list_filter(ps, lambda x: x >= s AND x < s + least(13, n))) = least(13, n)) AS counts
+  FROM (SELECT *, unnest(range(n)) AS s FROM near) GROUP BY ALL
 )
 SELECT doc_id, item_id, max(n)::BIGINT AS item_words, max(agree)::BIGINT AS n_agree, min(off)::BIGINT AS first_word
-FROM (SELECT *, rank() OVER (PARTITION BY doc_id, item_id ORDER BY agree DESC, off) AS r FROM run WHERE 100 * best >= 80 * least(20, n))
+FROM (SELECT *, rank() OVER (PARTITION BY doc_id, item_id ORDER BY agree DESC, off) AS r FROM run WHERE counts)
 WHERE r = 1 GROUP BY doc_id, item_id
 """,
     "op8_chat_format": r"""
