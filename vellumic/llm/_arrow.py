@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most text bytes that one step of an operator holds as Python objects.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def named(column: str, alias: str) -> Column:
