@@ -189,6 +189,35 @@ def test_novelty_tells_random_strings_from_identifiers():
     assert not any(k == "novel" for k, _, _ in secret_scan.scan(f"some words {random_keys[0]} end")[1])
 
 
+def brute_novel(text):
+    """Runs of base64 digits, "=" only at their end, that start within reach of a sensitive word and are novel."""
+    novelty, base = secret_scan.Novelty(), secret_scan.base_spans(text)
+    starts = [m.end() for m in re.finditer("|".join(w.decode() for w in secret_scan.SENSITIVE), text, re.ASCII | re.IGNORECASE)]
+    found = []
+    for m in re.finditer("[A-Za-z0-9+/_-]+(=+(?![A-Za-z0-9+/_=-]))?", text):
+        start, end = m.span()
+        near = any(w <= start <= w + secret_scan.REACH for w in starts) and not any(a < end and start < b for _, a, b in base)
+        if near and end - start >= 16 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and novelty(text[max(0, start - secret_scan.CONTEXT) : start], m[0]) >= secret_scan.NOVELTY:
+            found.append(("novel", start, end))
+    return found
+
+
+VALUE = "9fA8s7Kq2LmZ0xYwT4"
+NOVEL = st.lists(st.sampled_from(["AWS_SECRET_ACCESS_KEY", "auth", "signature", "client_id", "private_key", "x", "=", "==", ":", " ", "&", "?", "\n", "AKIA", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY9", VALUE, "Zx81Qw==", "q8"]), max_size=25).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(NOVEL)
+def test_novel_secrets(text):
+    assert [s for s in secret_scan.scan(text)[1] if s[0] == "novel"] == brute_novel(text)
+
+
+@pytest.mark.parametrize("before", ["AWS_SECRET_ACCESS_KEY=", "https://x.org/?auth=", "access_key=", "signature=", "client_id=", "credential=", "private_key="])
+def test_values_behind_an_equals_sign(before):
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY9"
+    assert secret_scan.scan(f"{before}{value} end")[1] == [("novel", len(before), len(before) + len(value))]
+
+
 # Personal data
 def brute_pii(text):
     spans = {"email": [], "ip": [], "card": [], "phone": []}

@@ -23,7 +23,9 @@ KINDS = (*BASE_KINDS, "novel")
 SENSITIVE = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"credential", b"bearer", b"private_key", b"auth", b"signature", b"client_id", b"access_key")
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _SENSITIVE = re.compile("|".join(w.decode() for w in SENSITIVE), re.ASCII | re.IGNORECASE)
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+#: A run of digits as of base64; "=" only ends it, so that of KEY=value the value is a run of its own.
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{16})[A-Za-z0-9+/_-]{1,512}+(?![A-Za-z0-9+/_-])(?:=++(?![A-Za-z0-9+/_-]))?")
+LEAST = 16
 #: Code points after a sensitive word in which a candidate starts, and of context compressed with it.
 REACH, CONTEXT = 64, 256
 #: Marginal compressed bytes for each byte of a candidate from which it counts as novel.
@@ -91,7 +93,7 @@ def novel_spans(text: str, base: list[_spans.Span], raw: bytes | None = None) ->
             if taken.touches(start, end):
                 continue
             value = m[0]
-            if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and novelty(text[max(0, start - CONTEXT) : start], value) >= NOVELTY:
+            if len(value) >= LEAST and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and novelty(text[max(0, start - CONTEXT) : start], value) >= NOVELTY:
                 out.append(("novel", start, end))
     return out
 
