@@ -203,7 +203,14 @@ def brute_novel(text):
 
 
 VALUE = "9fA8s7Kq2LmZ0xYwT4"
-NOVEL = st.lists(st.sampled_from(["AWS_SECRET_ACCESS_KEY", "auth", "signature", "client_id", "private_key", "x", "=", "==", ":", " ", "&", "?", "\n", "AKIA", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY9", VALUE, "Zx81Qw==", "q8"]), max_size=25).map("".join)
+NOVEL = st.lists(st.sampled_from(["AWS_SECRET_ACCESS_KEY", "auth", "signature", "client_id", "private_key", "x", "=", "==", ":", " ", "&", "?", "\n", "AKIA", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY9", VALUE, "Zx81Qw==", "q8", VALUE * 40]), max_size=25).map("".join)
+
+
+@pytest.mark.parametrize("length", [512, 513, 800, 1600, 100_000])
+def test_long_secrets_are_taken_whole(length):
+    value = "".join(random.Random(length).choices(string.ascii_letters + string.digits + "+/", k=length - 2)) + "=="
+    text = f"private_key: {value}\ntoken end {VALUE}"
+    assert secret_scan.scan(text)[1] == [("novel", 13, 13 + length), ("novel", len(text) - len(VALUE), len(text))]
 
 
 @settings(max_examples=400, deadline=None)

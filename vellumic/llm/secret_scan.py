@@ -24,7 +24,8 @@ SENSITIVE = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key",
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _SENSITIVE = re.compile("|".join(w.decode() for w in SENSITIVE), re.ASCII | re.IGNORECASE)
 #: A run of digits as of base64; "=" only ends it, so that of KEY=value the value is a run of its own.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{16})[A-Za-z0-9+/_-]{1,512}+(?![A-Za-z0-9+/_-])(?:=++(?![A-Za-z0-9+/_-]))?")
+_START = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]++(?:=++(?![A-Za-z0-9+/_-]))?")
 LEAST = 16
 #: Code points after a sensitive word in which a candidate starts, and of context compressed with it.
 REACH, CONTEXT = 64, 256
@@ -76,7 +77,10 @@ def base_spans(text: str, raw: bytes | None = None) -> list[_spans.Span]:
 
 
 def novel_spans(text: str, base: list[_spans.Span], raw: bytes | None = None) -> list[_spans.Span]:
-    """Candidates that start within ``REACH`` of a sensitive word, touch no base span and are novel."""
+    """Candidates that start within ``REACH`` of a sensitive word, touch no base span and are novel.
+
+    Candidates are whole runs, however long; only their start must lie near the word.
+    """
     lower = (text.encode() if raw is None else raw).lower()
     if not any(w in lower for w in SENSITIVE):
         return []
@@ -85,14 +89,12 @@ def novel_spans(text: str, base: list[_spans.Span], raw: bytes | None = None) ->
     out, done = [], 0
     for word in _SENSITIVE.finditer(text):
         lo, hi = max(done, word.end()), word.end() + REACH
-        for m in _CANDIDATE.finditer(text, lo, min(len(text), hi + 513)):
-            start, end = m.span()
-            if start > hi or end > hi + 512:
-                break
-            done = max(done, end)
+        while first := _START.search(text, lo, hi + 1):
+            start, end = _RUN.match(text, first.start()).span()
+            lo = done = end
             if taken.touches(start, end):
                 continue
-            value = m[0]
+            value = text[start:end]
             if len(value) >= LEAST and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and novelty(text[max(0, start - CONTEXT) : start], value) >= NOVELTY:
                 out.append(("novel", start, end))
     return out
