@@ -9,8 +9,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
-from compare import assert_same
+from compare import TABLES, assert_same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -156,6 +157,27 @@ def test_substituted_passages_are_found():
     assert wrong == 0 and wanted > 60 and missed <= 0.02 * wanted
 
 
+def test_short_items_with_substitutions(spark, sf_dir, tmp_path):
+    rng = random.Random(3)
+    vocabulary = [f"t{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=3 + k % 10))) for k in range(80)]
+    docs = []
+    for k in range(400):
+        words = rng.choice(items)[1].split()
+        for place in rng.sample(range(len(words)), rng.randint(0, 3)):
+            words[place] = rng.choice(vocabulary)
+        before, after = (rng.choices(vocabulary, k=rng.choice((0, 20))) for _ in range(2))
+        docs.append((k, " ".join(before + words[rng.randint(0, 1) :] + after)))
+    for name in TABLES:
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        (tmp_path / f"{name}.parquet").unlink()
+        pq.write_table(pa.table({key: [k for k, _ in rows], "text": [t for _, t in rows]}), tmp_path / f"{name}.parquet")
+    got = queries.op4_decontamination(spark, str(tmp_path))
+    assert got.where("n_agree < item_words").count() > 50
+    assert_same(got, queries.ORACLES["op4_decontamination"], str(tmp_path))
+
+
 # Secrets
 def brute_secrets(text):
     found = []

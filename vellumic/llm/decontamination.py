@@ -4,12 +4,14 @@ Fixed masks pick some words of a span and ignore the others; training and test s
 picked words agree are joined on a hash. Each hit fixes an alignment of an item with a
 document, and the alignment counts if some run of ``RUN`` aligned words agrees in at least
 ``AGREE`` percent of its words, so single substituted words hide nothing, or some run of
-``EXACT`` words in all, so shorter parts of an item are found too.
+``EXACT`` words in all, so shorter parts of an item are found too. Items of few words have seeds that find
+every alignment that counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,8 @@ from vellumic.llm._shingles import mixed, word_hashes, words
 #: hit more than 99.9 %, of runs of 15 words with 3 substitutions 98 %.
 MASKS = ("11010111", "11100111", "1011101100", "1110110001", "110011011", "1111011")
 RUN, AGREE, EXACT = 20, 80, 13
-#: Items of fewer words than LEAST match nothing; below WHOLE words the whole item is the seed.
+#: Items of fewer words than LEAST match nothing; items below WHOLE words get seeds of their own
+#: (:func:`short_picks`), which miss nothing.
 LEAST, WHOLE = 5, 12
 #: Words of benchmark items that one pass broadcasts (about 6 seeds of 24 bytes a word).
 BLOCK_WORDS = 400_000
@@ -38,20 +41,22 @@ class Seeds:
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.ids: list[int | None] = []
         self.words: list[np.ndarray] = []
-        found: dict[str, list[tuple[np.ndarray, int]]] = {}
+        found: dict[str, list[tuple[np.ndarray, np.ndarray, int]]] = {}
         for item_id, text in sorted(set(items), key=lambda x: (x[0] is not None, x)):
             hashes = word_hashes(words(text))
             if len(hashes) < LEAST:
                 continue
-            for mask in MASKS if len(hashes) >= WHOLE else ("1" * len(hashes),):
-                found.setdefault(mask, []).append((masked_hashes(hashes, mask), len(self.ids)))
+            for mask, at in [(mask, None) for mask in MASKS] if len(hashes) >= WHOLE else short_picks(len(hashes)):
+                keys = masked_hashes(hashes, mask)
+                places = np.arange(len(keys)) if at is None else np.array([at])
+                found.setdefault(mask, []).append((keys[places], places, len(self.ids)))
             self.ids.append(item_id)
             self.words.append(hashes)
         self.masks = []
         for mask, parts in found.items():
-            keys = np.concatenate([h for h, _ in parts])
-            item = np.concatenate([np.full(len(h), k, np.int64) for h, k in parts])
-            at = np.concatenate([np.arange(len(h)) for h, _ in parts])
+            keys = np.concatenate([h for h, _, _ in parts])
+            item = np.concatenate([np.full(len(h), k, np.int64) for h, _, k in parts])
+            at = np.concatenate([places for _, places, _ in parts])
             order = np.argsort(keys, kind="stable")
             sieve = np.zeros(1 << _FILTER_BITS, bool)
             sieve[keys >> np.uint64(64 - _FILTER_BITS)] = True
@@ -61,6 +66,20 @@ class Seeds:
         return [(mask, keys, item, at, np.unpackbits(sieve).view(bool)) for mask, keys, item, at, sieve in self.masks]
 
 
+def short_picks(n: int) -> list[tuple[str, int]]:
+    """(mask, place in the item) of seeds of which one at least agrees whenever ``n`` words count.
+
+    With ``spare`` words that may differ, one of ``spare + 1`` pieces agrees in all. Where the
+    pieces would be shorter than three words, all picks that leave ``spare`` words out do it.
+    """
+    spare = n - -(-AGREE * n // 100)
+    if n // (spare + 1) >= 3:
+        ends = [k * n // (spare + 1) for k in range(spare + 2)]
+        return [("1" * (b - a), a) for a, b in zip(ends, ends[1:])]
+    picks = ["".join("0" if k in out else "1" for k in range(n)) for out in combinations(range(n), spare)]
+    return [(pick.strip("0"), pick.index("1")) for pick in picks]
+
+
 def masked_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     """A hash of the picked words of each span of the mask's length."""
     n = len(hashes) - len(mask) + 1
