@@ -1,7 +1,12 @@
 """Passages, slicing, layout, graph, labels, upkeep and evaluation on inputs with known outcomes."""
 
 import math
+import random
+from collections import Counter
+from itertools import combinations
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +19,7 @@ from vellumic.operators import layout as Y
 from vellumic.operators import passages as P
 from vellumic.operators import slicing as S
 from vellumic.operators.components import components
+from vellumic.plans import graph as graph_plans
 from vellumic.scratch import Scratch
 
 
@@ -207,6 +213,42 @@ def test_communities(spark):
     assert got == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e", "f": "f", "g": "g"}
 
 
+def linkage(names, cosine, cut):
+    """Average linkage over the cosines of all pairs, as the reference has it."""
+    groups = [[n] for n in sorted(names)]
+    mean = lambda x, y: sum(cosine[min(p, q), max(p, q)] for p in x for q in y) / (len(x) * len(y))
+    while len(groups) > 1:
+        best, i, j = max((mean(groups[i], groups[j]), -i, -j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        if best < cut:
+            break
+        groups[-i] += groups.pop(-j)
+    return {frozenset(g) for g in groups}
+
+
+def test_communities_by_the_cosines_of_all_pairs(spark, tmp_path):
+    """The whole query; with pairs below the floor left out, groups that their cosines hold together would part."""
+    rng, parted = random.Random(2), 0
+    for trial in range(2):
+        counts = {f"s{k:02}": {f"q{w:02x}": rng.randint(4, 30) for w in rng.sample(range(160), 9)} for k in range(14)}
+        docs = [(k, s, " ".join(w for w, n in c.items() for _ in range(n))) for k, (s, c) in enumerate(counts.items())]
+        folder = tmp_path / str(trial)
+        folder.mkdir()
+        pq.write_table(pa.table({"doc_id": [d[0] for d in docs], "source": [d[1] for d in docs], "text": [d[2] for d in docs]}), folder / "documents.parquet")
+        df = Counter(w for c in counts.values() for w in c)
+        weights = {s: {w: (1 + math.log(n)) * (math.log(len(counts) / df[w]) + 1) for w, n in c.items() if df[w] <= 0.7 * len(counts)} for s, c in counts.items()}
+        norm = {s: math.sqrt(sum(x * x for x in c.values())) for s, c in weights.items()}
+        cosine = {(a, b): sum(x * weights[b].get(w, 0) for w, x in weights[a].items()) / norm[a] / norm[b] for a, b in combinations(sorted(counts), 2)}
+        cut = max(0.09, sorted(cosine.values())[int(len(cosine) * 0.9)])
+        cut_off = {p: c if c >= 0.09 else 0.0 for p, c in cosine.items()}
+        want = linkage(counts, cosine, cut)
+        parted += want != linkage(counts, cut_off, cut)
+        groups = {}
+        for r in graph_plans.communities(spark, str(folder)).collect():
+            groups.setdefault(r.community, set()).add(r.source)
+        assert {frozenset(g) for g in groups.values()} == want
+    assert parted
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(300)] + [(1000, 1001), (1001, 1002), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
