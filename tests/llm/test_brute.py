@@ -287,6 +287,14 @@ def test_scored_pii(text, kinds):
     assert [s[0] for s in pii.scan(text)[1]] == kinds
 
 
+@pytest.mark.parametrize("iban", ["BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"])
+@pytest.mark.parametrize("after", ["", " BIC GKCC", " SWIFT CODE", " BIC", " 12", " EUR 1250", " BE68 5390 0754 7034", ", x"])
+@pytest.mark.parametrize("before", ["", "iban ", "RE12 3456 7890 "])
+def test_ibans_before_other_words(before, iban, after):
+    spans = [s[1:] for s in pii.scan(before + iban + after)[1] if s[0] == "iban"]
+    assert spans[0] == (len(before), len(before) + len(iban)) and len(spans) == 1 + ("BE68" in after)
+
+
 def test_long_runs_stay_linear():
     for text in ("a" * 400_000 + "@", "1" * 400_000, "1." * 200_000, "+1" * 200_000, "f" * 31 + ("g" + "f" * 31) * 10_000, "password" * 50_000, "@" * 400_000):
         pii.scan(text)

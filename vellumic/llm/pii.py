@@ -25,6 +25,8 @@ KINDS = (*BASE_KINDS, "iban", "ssn", "account")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ACCOUNT = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])")
+#: Characters of the shortest match of IBAN, without spaces.
+IBAN_MIN = 12
 #: Score of a proposed span, and what a context word within ``NEAR`` code points adds to it.
 SCORES = {"iban": 0.8, "ssn": 0.4, "account": 0.35}
 CONTEXT = {
@@ -91,6 +93,27 @@ def base_spans(text: str) -> list[_spans.Span]:
     return _spans.by_kind(found, BASE_KINDS)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Proposed IBANs that mod-97 confirms, each at its longest end that passes.
+
+    A match may have taken following words or numbers of up to four characters into it, so its
+    shorter ends (whole groups) are tried too; where none passes, the search goes on inside it.
+    """
+    at = 0
+    while m := IBAN.search(text, at):
+        start, end = m.span()
+        at = start + 1
+        while end > start:
+            code = text[start:end].replace(" ", "")
+            if len(code) < IBAN_MIN:
+                break
+            if mod97(code):
+                yield start, end
+                at = end
+                break
+            end = text.rfind(" ", start, end)
+
+
 def score(text: str, kind: str, start: int, end: int) -> float:
     """The kind's score, raised or lowered by the words near the span."""
     near = text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]
@@ -101,13 +124,13 @@ def scored_spans(text: str, base: list[_spans.Span]) -> list[_spans.Span]:
     """Confirmed spans of the further kinds that reach ``REPORT`` and overlap no base span."""
     if not _DIGITS.search(text):
         return []
-    proposed = [("iban", m) for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
-    proposed += [("ssn", m) for m in SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9"]
-    proposed += [("account", m) for m in ACCOUNT.finditer(text) if luhn(_digits(m))]
+    proposed = [("iban", *span) for span in ibans(text)]
+    proposed += [("ssn", *m.span()) for m in SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9"]
+    proposed += [("account", *m.span()) for m in ACCOUNT.finditer(text) if luhn(_digits(m))]
     out, taken = [], _spans.Cover(base)
-    for kind, m in proposed:
-        if score(text, kind, *m.span()) >= REPORT and not taken.touches(*m.span()):
-            out.append((kind, *m.span()))
+    for kind, start, end in proposed:
+        if score(text, kind, start, end) >= REPORT and not taken.touches(start, end):
+            out.append((kind, start, end))
     return out
 
 
