@@ -381,6 +381,16 @@ def test_any_markup_renders(html):
     html_layout.render(html)
 
 
+@pytest.mark.parametrize("depth", [10, 149, 300, 5000])
+@pytest.mark.parametrize("tag", ["div", "font", "b"])
+def test_rules_hold_at_every_depth(depth, tag):
+    inner = '<div hidden>no<i>no</i></p>no</div><div style="display:none"><u>no</u>no</div><ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>345</table>'
+    shallow = html_layout.render(f"<{tag}>{inner}")
+    assert "no" not in shallow and "- b" in shallow and "345" in shallow
+    assert html_layout.render(f"<{tag}>" * depth + inner + f"</{tag}>" * depth) == shallow
+    assert html_layout.render("<section hidden>" + f"<{tag}>" * depth + "x" + f"</{tag}>" * depth + "no</section>yes") == "yes"
+
+
 def test_deep_and_long_markup():
     assert html_layout.render("<div>" * 20_000 + "x" + "</div>" * 10) == "x"
     assert html_layout.render("<b>" * 3000 + "y" + "<p>" * 3000 + "z").split() == ["y", "z"]

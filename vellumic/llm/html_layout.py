@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Generator
 from html import unescape
 
 import pyarrow as pa
@@ -36,8 +38,8 @@ IMPLIED_END = {
 ENDS_P = PARAGRAPH | frozenset("address article aside center details dialog dd div dt figcaption footer form header hgroup li main menu nav search section summary".split())
 #: Elements out of which a closing tag of another element does not reach.
 SCOPE = frozenset("table td th caption html template".split())
-#: Open elements beyond this number become siblings, and cells are padded to this width at most.
-DEPTH, CELL_WIDTH = 150, 60
+#: Cells are padded to this width at most.
+CELL_WIDTH = 60
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[\"'>]")
@@ -112,49 +114,51 @@ def tree(html: str) -> Node:
     """The document's elements, with implied ends and without unmatched closing tags."""
     root = Node("html")
     stack = [root]
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
+    scopes: list[int] = []
+
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close_to(k: int) -> None:
+        for node in stack[k:]:
+            places[node.tag].pop()
         del stack[k:]
+        while scopes and scopes[-1] >= k:
+            scopes.pop()
 
     for what, value, attrs in tokens(html):
         if what in ("text", "raw"):
             stack[-1].children.append(value)
         elif what == "close":
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == value:
-                    close_to(k)
-                    break
-                if stack[k].tag in SCOPE and value not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
-            else:
-                if value == "br":
-                    stack[-1].children.append(Node("br"))
+            at, scope = last(value), scopes[-1] if scopes else 0
+            if value in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
+                scope = 0
+            if at and at >= scope:
+                close_to(at)
+            elif value == "br" and not scope:
+                stack[-1].children.append(Node("br"))
         else:
-            if value in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        close_to(k)
-                        break
-                    if stack[k].tag in SCOPE or stack[k].tag == "button":
-                        break
+            if value in ENDS_P and places.get("p"):
+                at = last("p")
+                if at > (scopes[-1] if scopes else 0) and at > last("button"):
+                    close_to(at)
             if value in IMPLIED_END:
                 ends, bound = IMPLIED_END[value]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in bound:
-                        break
-                    if stack[k].tag in ends:
-                        close_to(k)
-                        if value not in ("tr", "tbody", "thead", "tfoot"):
-                            break
+                at, limit = last(*ends), last(*bound)
+                if at > limit:
+                    if value in ("tr", "tbody", "thead", "tfoot"):
+                        at = min(places[t][bisect_right(places[t], limit)] for t in ends if places.get(t) and places[t][-1] > limit)
+                    close_to(at)
             if value == "html":
                 continue
             node = Node(value, attrs)
             stack[-1].children.append(node)
             if value not in VOID:
-                if len(stack) < DEPTH:
-                    stack.append(node)
-                elif value in HIDDEN:
-                    stack[-1] = node
+                places.setdefault(value, []).append(len(stack))
+                if value in SCOPE:
+                    scopes.append(len(stack))
+                stack.append(node)
     return root
 
 
@@ -219,7 +223,22 @@ class _Lines:
             self.end(1)
 
 
-def _render(node: Node, out: _Lines, pre: bool) -> None:
+def _run(step: Generator):
+    """The result of a step that yields the steps it needs; a list holds the open ones, so depth has no limit."""
+    steps, value = [step], None
+    while steps:
+        try:
+            step = steps[-1].send(value)
+        except StopIteration as done:
+            steps.pop()
+            value = done.value
+        else:
+            steps.append(step)
+            value = None
+    return value
+
+
+def _render(node: Node, out: _Lines, pre: bool) -> Generator:
     number = 0
     for child in node.children:
         if isinstance(child, str):
@@ -249,13 +268,13 @@ def _render(node: Node, out: _Lines, pre: bool) -> None:
             out.end(1)
         elif tag == "table":
             out.end(2)
-            out.whole(_table(child))
+            out.whole((yield _table(child)))
             out.end(2)
         elif tag == "li":
             out.end(1)
             number += 1
             inner = _Lines()
-            _render(child, inner, pre)
+            yield _render(child, inner, pre)
             inner.end(1)
             mark = f"{number}. " if node.tag == "ol" else "- "
             if inner.lines:
@@ -264,31 +283,31 @@ def _render(node: Node, out: _Lines, pre: bool) -> None:
         elif tag in BLOCK:
             gap = 2 if tag in PARAGRAPH and not (tag in ("ul", "ol") and node.tag == "li") else 1
             out.end(gap)
-            _render(child, out, pre or tag == "pre")
+            yield _render(child, out, pre or tag == "pre")
             out.end(gap)
         else:
-            _render(child, out, pre or tag in ("textarea", "xmp"))
+            yield _render(child, out, pre or tag in ("textarea", "xmp"))
             if tag in ("td", "th"):
                 out.space = True
 
 
-def _cells(node: Node, rows: list[list[str]], captions: list[str]) -> None:
+def _cells(node: Node, rows: list[list[str]], captions: list[str]) -> Generator:
     loose: list = []
 
-    def flush() -> None:
+    def flush() -> Generator:
         if any(not isinstance(x, str) or x.strip() for x in loose):
             holder = Node("div")
             holder.children = list(loose)
-            captions.extend(_text_lines(holder))
+            captions.extend((yield _text_lines(holder)))
         loose.clear()
 
     for child in node.children:
         tag = "" if isinstance(child, str) else child.tag
         if tag in ("thead", "tbody", "tfoot") and visible(child):
-            flush()
-            _cells(child, rows, captions)
+            yield flush()
+            yield _cells(child, rows, captions)
         elif tag == "tr" and visible(child):
-            flush()
+            yield flush()
             row: list[str] = []
             for cell in child.children:
                 if isinstance(cell, str):
@@ -299,7 +318,7 @@ def _cells(node: Node, rows: list[list[str]], captions: list[str]) -> None:
                     if cell.tag not in _CELL:
                         holder = Node("div")
                         holder.children = [cell]
-                    row.append(" ".join(x.strip() for x in _text_lines(holder) if x))
+                    row.append(" ".join(x.strip() for x in (yield _text_lines(holder)) if x))
                     span = cell.get("colspan") if cell.attrs else None
                     if span and span.isdigit():
                         row += [""] * (min(int(span), 50) - 1)
@@ -307,14 +326,14 @@ def _cells(node: Node, rows: list[list[str]], captions: list[str]) -> None:
                 rows.append(row)
         elif tag not in ("col", "colgroup"):
             loose.append(child)
-    flush()
+    yield flush()
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node) -> Generator:
     """Captions and loose text first, then one line a row, cells padded to their column's width."""
     rows: list[list[str]] = []
     captions: list[str] = []
-    _cells(node, rows, captions)
+    yield _cells(node, rows, captions)
     widths: list[int] = []
     for row in rows:
         widths += [0] * (len(row) - len(widths))
@@ -323,23 +342,24 @@ def _table(node: Node) -> list[str]:
     return captions + [" | ".join(cell.ljust(w) for cell, w in zip(row, widths)).rstrip() for row in rows]
 
 
-def _text_lines(node: Node) -> list[str]:
+def _text_lines(node: Node) -> Generator:
     out = _Lines()
-    _render(node, out, False)
+    yield _render(node, out, False)
     out.end(1)
     return out.lines
 
 
 def render(html: str) -> str:
     """All visible text of a page: blocks on lines of their own, paragraphs apart."""
-    return "\n".join(x.rstrip() for x in _text_lines(tree(html.replace("\0", "")))).strip("\n")
+    return "\n".join(x.rstrip() for x in _run(_text_lines(tree(html.replace("\0", ""))))).strip("\n")
 
 
 def html_text(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The visible text of every whole page.
 
     Returns ``id_col``, ``text`` and ``n_chars``. A null or empty page has the empty text,
-    broken markup is read as far as it goes, a null id stays null, repeated rows each give a
+    broken markup is read as far as it goes, elements nest to any depth (each list within a list
+    indents its lines, so many levels of lists make long lines), a null id stays null, repeated rows each give a
     row, other columns are not read, an empty table gives an empty result.
     """
 
