@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 from html.parser import HTMLParser
 from itertools import combinations
 
@@ -178,6 +179,30 @@ def test_short_items_with_substitutions(spark, sf_dir, tmp_path):
     assert_same(got, queries.ORACLES["op4_decontamination"], str(tmp_path))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.integers(0, 200), min_size=1), st.sets(st.integers(0, 90), min_size=1))
+def test_differences(p, q):
+    got = decontamination.differences(np.array(sorted(p)), np.array(sorted(q)))
+    assert got.tolist() == sorted({x - y for x in p for y in q})
+
+
+def test_repeated_words_stay_cheap():
+    """One word over and over, in the item and in the documents, does not multiply."""
+    items = [(0, "the " * 1200), (1, "the " * 9), (2, "a b c d e f " * 50)]
+    seeds = decontamination.Seeds(items)
+    start = time.perf_counter()
+    found = decontamination.overlaps(["the " * 8000, "the " * 8, "x " + "a b c d e f " * 300, ""], seeds, seeds.unpacked())
+    assert time.perf_counter() - start < 20
+    assert [sorted(f.items()) for f in found] == [[(0, (1200, 0)), (1, (9, 0))], [(1, (8, -1))], [(2, (300, 1))], []]
+
+
+@pytest.mark.parametrize("least, want", [(1, {1, 2, 3}), (2, {2, 3}), (5, {3})])
+def test_items_of_few_words(least, want):
+    seeds = decontamination.Seeds([(1, "One"), (2, "two three"), (3, "four five six seven eight")], least)
+    found = decontamination.overlaps(["x one TWO three y four five six seven nine"], seeds, seeds.unpacked())
+    assert {seeds.ids[k] for k in found[0]} == want
+
+
 # Secrets
 def brute_secrets(text):
     found = []
@@ -202,36 +227,88 @@ def test_base_secrets_of_documents(spark, sf_dir, documents):
     assert got == {i: hashlib.sha256(",".join(brute_secrets(t)).encode()).hexdigest() for i, t in documents}
 
 
-def test_novelty_tells_random_strings_from_identifiers():
-    rng = random.Random(2)
-    random_keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=24)) for _ in range(200)]
-    known = ["getAuthenticationToken123", "access_token_secret_key_1", "example_password_here_123", "aaaaaaaa11111111aaaaaaaa"]
-    hit = lambda v: any(k == "novel" for k, _, _ in secret_scan.scan(f"bearer {v} end")[1])
-    assert sum(map(hit, random_keys)) >= 195 and not any(map(hit, known))
-    assert not any(k == "novel" for k, _, _ in secret_scan.scan(f"some words {random_keys[0]} end")[1])
+#: Words of names that the tests make up; the dictionary was not made from these names.
+NAME_WORDS = "user account service manager render button click payment invoice refund shipping address handler factory controller repository session cache config loader parser writer reader stream buffer queue worker thread lock event listener callback filter sort merge split update delete insert customer order product catalog inventory warehouse tracker schedule calendar reminder message inbox template layout widget canvas color theme font image upload download archive backup restore snapshot cluster node replica shard index search query result page cursor offset limit".split()
+SETTINGS = ("bearer {} end", "client_id = '{}'\nrun(client)", "my auth {}", "{} is my secret", "export AUTH_KEY={}", "auth {}=")
+
+
+def novel(value, rng):
+    """Whether the scan reports the whole of a value in some sensitive setting."""
+    setting = rng.choice(SETTINGS)
+    start = setting.index("{}")
+    return any(k in ("novel", "hex") and a <= start and b >= start + len(value) for k, a, b in secret_scan.scan(setting.format(value))[1])
+
+
+def names(style, rng):
+    words = rng.sample(NAME_WORDS, rng.choice((3, 4, 5)))
+    number = rng.choice(("", "2", "42"))
+    if style == "camel":
+        return words[0] + "".join(w.title() for w in words[1:]) + number
+    joined = ("-" if style == "kebab" else "_").join(words) + number
+    return joined.upper() if style == "upper" else joined
+
+
+@pytest.mark.parametrize("style", ["camel", "snake", "upper", "kebab"])
+def test_few_names_are_novel(style):
+    rng = random.Random(style)
+    assert sum(novel(names(style, rng), rng) for _ in range(500)) <= 25
+
+
+@pytest.mark.parametrize("digits", [string.ascii_letters + string.digits + "+/", string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase + "234567", "0123456789abcdef", "0123456789ABCDEF"])
+@pytest.mark.parametrize("length", [16, 20, 32, 40, 64])
+def test_random_strings_are_novel(digits, length):
+    rng = random.Random(length)
+    assert sum(novel("".join(rng.choices(digits, k=length)), rng) for _ in range(200)) >= 190
+
+
+@pytest.mark.parametrize("text, want", [("token_{} x", True), ("{}_token", True), ("auth" + " " * 64 + "{}", True), ("auth" + " " * 65 + "{}", False), ("{}" + " " * 64 + "auth", True), ("{}" + " " * 65 + "auth", False), ("some words {} end", False), ("secretly {}", True)])
+def test_reach_of_sensitive_words(text, want):
+    value = "aZ3kQ9xLm2Pw7RtY5uVbN8cD1eFgH4jK6sTzX0y"
+    start = text.index("{}")
+    assert (("novel", start, start + len(value)) in secret_scan.scan(text.format(value))[1]) == want
+
+
+def test_repeated_and_surrounding_code_is_not_novel():
+    rng = random.Random(4)
+    value = "".join(rng.choices(string.ascii_letters + string.digits, k=24))
+    assert not secret_scan.scan(f"auth {'xy1' * 20} x")[1]
+    assert len(secret_scan.scan(f"auth {value} end")[1]) == 1
+    assert len(secret_scan.scan(f"auth {value} and {value} again")[1]) == 2
+    assert not secret_scan.scan(f"auth {value} and x{value[:12]} {value[12:]}x again")[1]
 
 
-def brute_novel(text):
-    """Runs of base64 digits, "=" only at their end, that start within reach of a sensitive word and are novel."""
-    novelty, base = secret_scan.Novelty(), secret_scan.base_spans(text)
-    starts = [m.end() for m in re.finditer("|".join(w.decode() for w in secret_scan.SENSITIVE), text, re.ASCII | re.IGNORECASE)]
+def brute_novel(text, novelty=secret_scan.Novelty()):
+    """Runs of base64 digits, "=" only at their end, near a sensitive word, less such words, and novel."""
+    base = secret_scan.base_spans(text)
+    word = "(?ai:" + "|".join(w.decode() for w in secret_scan.SENSITIVE) + ")"
+    near = [m.span() for m in re.finditer(word, text)]
     found = []
     for m in re.finditer("[A-Za-z0-9+/_-]+(=+(?![A-Za-z0-9+/_=-]))?", text):
-        start, end = m.span()
-        near = any(w <= start <= w + secret_scan.REACH for w in starts) and not any(a < end and start < b for _, a, b in base)
-        if near and end - start >= 16 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and novelty(text[max(0, start - secret_scan.CONTEXT) : start], m[0]) >= secret_scan.NOVELTY:
-            found.append(("novel", start, end))
+        if len(m[0].rstrip("=")) < 16 or not any(m.start() - b <= secret_scan.REACH and a - m.end() <= secret_scan.REACH for a, b in near):
+            continue
+        inner = re.split(f"({word})", m[0])
+        at = m.start()
+        for k, part in enumerate(inner):
+            trimmed = part.lstrip("_-")
+            start = at + len(part) - len(trimmed)
+            trimmed = trimmed.rstrip("_-") if k + 1 < len(inner) else trimmed
+            at, end = at + len(part), start + len(trimmed)
+            if k % 2 or len(trimmed) < 16 or not re.search("[A-Za-z]", trimmed) or any(a < end and start < b for _, a, b in base):
+                continue
+            hexes = re.fullmatch("[0-9a-fA-F-]+", trimmed)
+            if novelty(trimmed, (text[max(0, start - 256) : start] + "\n" + text[end : end + 256]).replace(trimmed, "\n")) >= (secret_scan.HEX_NOVELTY if hexes else secret_scan.NOVELTY):
+                found.append(("novel", start, end))
     return found
 
 
 VALUE = "9fA8s7Kq2LmZ0xYwT4"
-NOVEL = st.lists(st.sampled_from(["AWS_SECRET_ACCESS_KEY", "auth", "signature", "client_id", "private_key", "x", "=", "==", ":", " ", "&", "?", "\n", "AKIA", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY9", VALUE, "Zx81Qw==", "q8", VALUE * 40]), max_size=25).map("".join)
+NOVEL = st.lists(st.sampled_from(["AWS_SECRET_ACCESS_KEY", "auth", "signature", "client_id", "private_key", "x", "=", "==", ":", " ", "&", "?", "\n", "AKIA", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY9", VALUE, "Zx81Qw==", "q8", "_", "-", " " * 60, "tokenizedSessionHandler", VALUE + "Jx7" + VALUE[::-1]]), max_size=25).map("".join)
 
 
 @pytest.mark.parametrize("length", [512, 513, 800, 1600, 100_000])
 def test_long_secrets_are_taken_whole(length):
     value = "".join(random.Random(length).choices(string.ascii_letters + string.digits + "+/", k=length - 2)) + "=="
-    text = f"private_key: {value}\ntoken end {VALUE}"
+    text = f"private_key: {value}\n" + "." * 300 + f"token end {VALUE}"
     assert secret_scan.scan(text)[1] == [("novel", 13, 13 + length), ("novel", len(text) - len(VALUE), len(text))]
 
 

@@ -96,7 +96,7 @@ def test_decontamination_without_items(spark, docs):
 
 def test_blocks_of_items_find_the_same(spark, docs, monkeypatch):
     whole = rows(TABLES["op4"](spark, docs))
-    monkeypatch.setattr(decontamination.blocks, "__defaults__", (40,))
+    monkeypatch.setattr(decontamination.blocks, "__defaults__", (decontamination.LEAST, 40))
     assert rows(TABLES["op4"](spark, docs)) == whole
 
 

@@ -26,7 +26,8 @@ from vellumic.llm._shingles import mixed, word_hashes, words
 #: hit more than 99.9 %, of runs of 15 words with 3 substitutions 98 %.
 MASKS = ("11010111", "11100111", "1011101100", "1110110001", "110011011", "1111011")
 RUN, AGREE, EXACT = 20, 80, 13
-#: Items of fewer words than LEAST match nothing; items below WHOLE words get seeds of their own
+#: Items of fewer words than LEAST match nothing unless a call asks for less: one to four common words
+#: stand in clean documents too. Items below WHOLE words get seeds of their own
 #: (:func:`short_picks`), which miss nothing.
 LEAST, WHOLE = 5, 12
 #: Words of benchmark items that one pass broadcasts (about 6 seeds of 24 bytes a word).
@@ -38,13 +39,13 @@ _X = np.uint64(0x9E3779B97F4A7C15)
 class Seeds:
     """The hashed spans of some benchmark items, ready to be joined with documents."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], least: int = LEAST):
         self.ids: list[int | None] = []
         self.words: list[np.ndarray] = []
         found: dict[str, list[tuple[np.ndarray, np.ndarray, int]]] = {}
         for item_id, text in sorted(set(items), key=lambda x: (x[0] is not None, x)):
             hashes = word_hashes(words(text))
-            if len(hashes) < LEAST:
+            if len(hashes) < max(least, 1):
                 continue
             for mask, at in [(mask, None) for mask in MASKS] if len(hashes) >= WHOLE else short_picks(len(hashes)):
                 keys = masked_hashes(hashes, mask)
@@ -104,6 +105,18 @@ def agreement(item: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, bool
     return int(sums[-1]), bool(100 * most(run) >= AGREE * run or most(exact) == exact)
 
 
+def differences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The distinct values of ``x - y`` for x in ``p`` and y in ``q``, in much less than their product where there are many."""
+    low = int(p.min()) - int(q.max())
+    size = int(p.max()) - int(q.min()) - low + 1
+    if len(p) * len(q) <= 16 * size:
+        return np.unique(np.subtract.outer(p, q))
+    width = 1 << (size - 1).bit_length()  # the product of the two indicator series, by Fourier transform
+    x, y = np.zeros(width), np.zeros(width)
+    x[p - p.min()], y[q.max() - q] = 1, 1
+    return np.flatnonzero(np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), width)[:size] > 0.5) + low
+
+
 def overlaps(texts: list[str | None], seeds: Seeds, tables: list[tuple]) -> list[dict[int, tuple[int, int]]]:
     """Of each text: item number to (words that agree, first word) of its best alignment that counts.
 
@@ -112,7 +125,7 @@ def overlaps(texts: list[str | None], seeds: Seeds, tables: list[tuple]) -> list
     docs = [words(text) for text in texts]
     ends = np.cumsum([len(d) for d in docs])
     sequence = word_hashes([w for d in docs for w in d])
-    tried: set[tuple[int, int, int]] = set()
+    tried: dict[tuple[int, int], list[np.ndarray]] = {}
     for mask, keys, item, at, sieve in tables:
         hashes = masked_hashes(sequence, mask)
         spots = np.flatnonzero(sieve[hashes >> np.uint64(64 - _FILTER_BITS)])
@@ -121,14 +134,21 @@ def overlaps(texts: list[str | None], seeds: Seeds, tables: list[tuple]) -> list
         spots, doc = spots[inside], doc[inside]
         lo, hi = np.searchsorted(keys, hashes[spots], "left"), np.searchsorted(keys, hashes[spots], "right")
         hit = hi > lo
-        for p, d, a, b in zip(spots[hit].tolist(), doc[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
-            first = p - (int(ends[d]) - len(docs[d]))
-            tried.update((d, k, first - q) for k, q in zip(item[a:b].tolist(), at[a:b].tolist()))
+        spots, doc, lo, hi = spots[hit], doc[hit], lo[hit], hi[hit]
+        # All places of a seed in a document against all its places in an item, at once.
+        order = np.lexsort((lo, doc))
+        cuts = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(lo[order]) != 0)) + 1
+        for group in np.split(order, cuts) if len(order) else ():
+            d, a, b = doc[group[0]], lo[group[0]], hi[group[0]]
+            first = spots[group] - (ends[d] - len(docs[d]))
+            for k in np.unique(item[a:b]):
+                tried.setdefault((int(d), int(k)), []).append(differences(first, at[a:b][item[a:b] == k]))
     best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-    for d, k, offset in sorted(tried):
-        agree, counts = agreement(seeds.words[k], sequence[ends[d] - len(docs[d]) : ends[d]], offset)
-        if counts and (k not in best[d] or agree > best[d][k][0]):
-            best[d][k] = agree, offset
+    for (d, k), offsets in sorted(tried.items()):
+        for offset in np.unique(np.concatenate(offsets)).tolist():
+            agree, counts = agreement(seeds.words[k], sequence[ends[d] - len(docs[d]) : ends[d]], offset)
+            if counts and (k not in best[d] or agree > best[d][k][0]):
+                best[d][k] = agree, offset
     return best
 
 
@@ -142,32 +162,32 @@ def _tables(seeds: Seeds) -> list[tuple]:
     return _TABLES[0][1]
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_WORDS) -> Iterator[Broadcast]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, least: int = LEAST, most: int = BLOCK_WORDS) -> Iterator[Broadcast]:
     """Broadcast seeds of the items, in as many blocks as keep each within ``most`` words or so."""
     rows = benchmark.select(named(id_col, "id"), named(text_col, "text")).where("text IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // (2 * most)))  # a word and its space are two characters at least
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        seeds = Seeds([tuple(r) for r in part.collect()])
+        seeds = Seeds([tuple(r) for r in part.collect()], least)
         if seeds.ids:
             yield benchmark.sparkSession.sparkContext.broadcast(seeds)
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Every benchmark item that a document contains, whole texts against all items.
 
     Returns ``id_col``, ``item_col``, ``item_words``, ``n_agree`` (words that agree in the
     best alignment) and ``first_word`` (where the item starts in the document, counted in
     words; negative if its start is cut off). Null and empty texts match nothing, nor do items of
-    fewer than ``LEAST`` words; null ids stay null; repeated rows and items each give their
+    fewer than ``least`` words (those of up to four are found word for word); null ids stay null; repeated rows and items each give their
     rows, but an item repeated with its id gives one; other columns are not read.
     """
     rows = df.select(named(id_col, "id"), named(text_col, "text"))
     item_type = benchmark.schema[item_col].dataType
     schema = extended([rows.schema["id"]], f"item {item_type.simpleString()}, item_words long, n_agree long, first_word long")
     out = None
-    for shared in blocks(benchmark, item_col, item_text_col):
+    for shared in blocks(benchmark, item_col, item_text_col, least):
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             seeds, tables, found, row = shared.value, _tables(shared.value), [], []
@@ -184,13 +204,13 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST) -> DataFrame:
     """The rows of ``df`` that contain no benchmark item, with all their columns, without a shuffle.
 
     Rows with a null or empty text stay. Items as in :func:`contaminated`.
     """
     rows = packed(df, text_col)
-    for shared in blocks(benchmark, item_col, item_text_col):
+    for shared in blocks(benchmark, item_col, item_text_col, least):
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             seeds, tables = shared.value, _tables(shared.value)
