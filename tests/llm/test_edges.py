@@ -141,6 +141,16 @@ def test_pages(spark):
     assert url_filter.judged(pages, url_filter.rules(spark)).count() == 6
 
 
+def test_rules_that_end_inside_a_token(spark):
+    table = spark.createDataFrame([url_filter.host_path_rule(*r) for r in (("example.com", "/en", "block"), ("a-b.org", "", "block"), ("c.org", "/X-y/Z9", "block"))], "rule string, verdict string, base boolean, whole boolean, pattern string, tokens array<string>")
+    urls = {"http://example.com/english/a": "block", "http://example.com/en/a": "block", "http://example.com/fr/en": "allow", "http://www.a-b.org": "block", "http://a-b.org/x": "block", "http://a-b.orgs/x": "allow", "http://c.org/X-y/Z99": "block", "http://c.org/x-y/Z99": "allow", "http://notexample.com/en": "allow"}
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(list(urls) * 3)], "page_id long, url string")
+    got = url_filter.judged(pages, table).collect()
+    assert sorted((r.page_id, r.verdict) for r in got) == list(enumerate(list(urls.values()) * 3))
+    with pytest.raises(ValueError):
+        url_filter.judged(pages, table.withColumn("tokens", F.expr("filter(tokens, t -> false)")))
+
+
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (None, 0, None, "x"), (2, None, "user", ""), (2, None, "assistant", "</turn>\n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash")).withColumn("loss", F.lit("clash"))

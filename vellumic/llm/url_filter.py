@@ -2,7 +2,8 @@
 
 DataFrame functions only. A rule is a row of (rule, verdict, base, whole, pattern, tokens): ``pattern`` is a regular expression
 over ``host + path`` (or over the whole URL, lower case, where ``whole`` is set) and ``tokens``
-are letter-digit runs that every URL it matches must contain. Of those the token that the
+are whole letter-digit runs that every URL it matches must contain, so a run at the end of a
+rule's path, which may go on in the URL, is none. Of those the token that the
 fewest URLs of the input contain is the rule's index key; the counts cover all URLs.
 """
 
@@ -37,9 +38,10 @@ PATTERN_RULES = (
 
 
 def host_path_rule(host: str, path: str, verdict: str) -> tuple:
-    """A rule for a host, its subdomains and the paths below ``path``."""
-    pattern = rf"^(?:[^/?#]*\.)?{re.escape(host)}{re.escape(path)}"
-    return (host + path, verdict, True, False, pattern, _TOKEN.findall(host + path))
+    """A rule for a host, its subdomains and the paths that start with ``path`` (empty, or from a slash)."""
+    pattern = rf"^(?:[^/?#]*\.)?{re.escape(host)}{re.escape(path) if path else '(?:/|$)'}"
+    tokens = _TOKEN.findall(host) + [m[0].lower() for m in re.finditer("[A-Za-z0-9]+", path) if m.end() < len(path)]
+    return (host + path, verdict, True, False, pattern, tokens)
 
 
 def rules(spark: SparkSession, base=BASE_RULES, patterns=PATTERN_RULES) -> DataFrame:
@@ -64,27 +66,35 @@ def judged(df: DataFrame, rule_table: DataFrame, *, id_col: str = "page_id", url
     null URL or one without ``://`` has an empty host and path and no host and path rule; a
     null id stays null; repeated rows each give a row; other columns are not read; an empty
     table gives an empty result. A rule without tokens is an error, as nothing would fetch it.
+
+    Candidates are fetched and run in each URL's own row, and what they find is gathered by row,
+    so a URL that very many rows share costs no task more than others.
     """
     after = F.regexp_extract("url", r"(?s)^.*?://(.*)$", 1)
     pages = df.select(named(id_col, "id"), F.coalesce(named(url_col, "url"), F.lit("")).alias("url"))
-    pages = pages.select("id", "url", ascii_lower(F.regexp_extract(after, r"^([^/?#]*)", 1)).alias("host"), F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1).alias("path"))
+    # Rows of a scan keep their place in it, so these numbers are the same when a task is repeated.
+    pages = pages.select(F.monotonically_increasing_id().alias("row"), "id", "url", ascii_lower(F.regexp_extract(after, r"^([^/?#]*)", 1)).alias("host"), F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1).alias("path"))
     numbered = rule_table.select(F.xxhash64("rule", "base").alias("number"), "*")
     wanted = numbered.select("number", F.explode("tokens").alias("token"))
-    tokens = pages.select("url", "host", "path", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("url")), F.lit(r"[a-z0-9]+"), F.lit(0)))).alias("token"))
-    small = rule_table.count() <= BROADCAST_RULES
+    distinct = F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("url")), F.lit(r"[a-z0-9]+"), F.lit(0)))
+    n_rules, without = rule_table.agg(F.count("*"), F.min(F.when(F.coalesce(F.size("tokens"), F.lit(0)) <= 0, F.col("rule")))).first()
+    if without is not None:
+        raise ValueError(f"no token to fetch the rule {without!r} by")
+    small = n_rules <= BROADCAST_RULES
     sized = F.broadcast if small else lambda x: x
 
     # Rarity of the rules' tokens over all URLs, then one index row for each rule.
-    counts = tokens.join(sized(wanted.select("token").distinct()), "token").groupBy("token").count()
+    counts = pages.select(F.explode(distinct).alias("token")).join(sized(wanted.select("token").distinct()), "token").groupBy("token").count()
     rarest = wanted.join(sized(counts) if small else counts, "token", "left").groupBy("number").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("r"))
     index = rarest.select("number", F.col("r.token").alias("token")).join(numbered.drop("tokens"), "number")
 
     subject = F.when(F.col("whole"), ascii_lower(F.col("url"))).otherwise(F.concat("host", "path"))
-    hits = tokens.join(sized(index), "token").where(F.rlike(subject, F.col("pattern")))
     # Least of (kind, -length, text): host and path rules first, then the longest, then the least.
-    best = F.min(F.struct((~F.col("base")).alias("further"), (-F.length("rule")).alias("shorter"), "rule", "verdict"))
-    found = hits.groupBy("url").agg(best.alias("b")).withColumnRenamed("url", "hit_url")
-    out = pages.join(found, F.col("url") == F.col("hit_url"), "left")
+    found = F.when(F.col("token") != "", F.struct((~F.col("base")).alias("further"), (-F.length("rule")).alias("shorter"), "rule", "verdict"))
+    # The empty token, which fetches nothing, keeps the row of a URL without hits.
+    fetched = pages.select("*", F.explode(F.concat(F.array(F.lit("")), distinct)).alias("token")).join(sized(index), "token", "left")
+    hits = fetched.where((F.col("token") == "") | F.rlike(subject, F.col("pattern")))
+    out = hits.groupBy("row", "id", "host", "path").agg(F.min(found).alias("b"))
     return out.select(
         F.col("id").alias(id_col),
         "host",
