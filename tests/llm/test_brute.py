@@ -435,6 +435,13 @@ LAYOUT = [
     ("<ul><li>x<li>y<ol><li>1<li>2</ol></ul>", "- x\n- y\n  1. 1\n  2. 2"),
     ("<table><tr><th>h<th>long head<tr><td>cell<td>2</table>", "h    | long head\ncell | 2"),
     ("<table><tr><td>a<table><tr><td>in</table><td>b</table>", "a in | b"),
+    ("<table><tr><td colspan=2>wide<td>c<tr><td>a<td>bbbb<td>d</table>", "wide     | c\na | bbbb | d"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+    ("<table><tr><td>日本<td>x<tr><td>abcde<td>e\u0301</table>", "日本  | x\nabcde | e\u0301"),
+    ("<table><tr><td colspan='²'>a<td>b</table>", "a | b"),
+    (f"<table><tr><td colspan={'9' * 5000} rowspan=' +{'0' * 5000}1'>a<td>b<tr><td>c</table>", "a | b\nc"),
+    (f"a&#{'9' * 5000};b&#{'0' * 5000}65;c&#x{'f' * 5000};d", "a\ufffdbAc\ufffdd"),
     ("<div hidden>n</div><p style='display : none'>n</p><template>n</template>y", "y"),
     ("<div>a</div>b<span> c </span>d", "a\nb c d"),
     ("<pre> a\n  b</pre>", " a\n  b"),
@@ -468,6 +475,21 @@ def test_rules_hold_at_every_depth(depth, tag):
     assert html_layout.render("<section hidden>" + f"<{tag}>" * depth + "x" + f"</{tag}>" * depth + "no</section>yes") == "yes"
 
 
+MARKS = st.lists(st.sampled_from(["<td ", "<tr ", "<table ", ">", "colspan=", "rowspan=", "²", "9" * 5000, "0", "1", "2", "-1", "+3", "'", '"', " ", "&#", "x", ";", "&amp;", "日", "a", "</td>", "</table>", "<col>", "<tbody>", "\0", "\ud7ff", "٣"]), max_size=40).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(MARKS)
+def test_any_attributes_render(html):
+    html_layout.render(html)
+
+
+def test_wide_tables_stay_small():
+    row = "<tr><td>b" * 3000
+    assert len(html_layout.render("<table><tr>" + "<td colspan=1000 rowspan=65534>a" * 3000 + row)) < 3000 * 400
+    assert len(html_layout.render("<table>" + "<tr>" + "<td>" + "x" * 100_000 + "<td>y" + "<tr><td>a<td>b" * 3000)) < 600_000
+
+
 def test_deep_and_long_markup():
     assert html_layout.render("<div>" * 20_000 + "x" + "</div>" * 10) == "x"
     assert html_layout.render("<b>" * 3000 + "y" + "<p>" * 3000 + "z").split() == ["y", "z"]

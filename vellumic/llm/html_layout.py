@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Generator
-from html import unescape
+from html import unescape as named_unescape
+from itertools import accumulate
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +40,11 @@ IMPLIED_END = {
 ENDS_P = PARAGRAPH | frozenset("address article aside center details dialog dd div dt figcaption footer form header hgroup li main menu nav search section summary".split())
 #: Elements out of which a closing tag of another element does not reach.
 SCOPE = frozenset("table td th caption html template".split())
-#: Cells are padded to this width at most.
-CELL_WIDTH = 60
+#: Cells are padded to this width at most, and cells over several columns or gaps below cells of
+#: several rows to the second; that bounds the blanks of a page and leaves out no text.
+CELL_WIDTH, SPAN_WIDTH = 60, 240
+#: Most columns and rows that a cell may span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[\"'>]")
@@ -48,6 +53,25 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)",
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _LINES = re.compile(r"\r\n?")
+#: What stands between the cells of a row.
+_BETWEEN = " | "
+_LONG_REFERENCE = re.compile(r"&#([0-9]{8,})(;?)")
+_NUMBER = re.compile(r"[ \t\n\r\f]*\+?0*([0-9]+)")
+
+
+def unescape(text: str) -> str:
+    """Character references resolved; numbers of any length, those too large as U+FFFD."""
+    if "&" not in text:
+        return text
+    short = lambda m: f"&#{m[1].lstrip('0') or '0'}{m[2]}" if len(m[1].lstrip("0")) < 8 else "\ufffd"
+    return named_unescape(_LONG_REFERENCE.sub(short, text))
+
+
+def columns_of(text: str) -> int:
+    """Columns that a line of text takes: two for each wide character, none for combining marks."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
 
 
 class Node:
@@ -242,7 +266,7 @@ def _render(node: Node, out: _Lines, pre: bool) -> Generator:
     number = 0
     for child in node.children:
         if isinstance(child, str):
-            value = unescape(child) if "&" in child else child
+            value = unescape(child)
             if pre:
                 first, *more = _LINES.sub("\n", value).split("\n")
                 if first:
@@ -291,7 +315,23 @@ def _render(node: Node, out: _Lines, pre: bool) -> Generator:
                 out.space = True
 
 
-def _cells(node: Node, rows: list[list[str]], captions: list[str]) -> Generator:
+class _Cell:
+    """A table cell: its text, the first column it takes and the one behind it, and its rows."""
+
+    __slots__ = ("text", "start", "end", "rows")
+
+    def __init__(self, text: str, columns: int = 1, rows: int = 1):
+        self.text, self.start, self.end, self.rows = text, 0, columns, rows
+
+
+def span(node: Node, name: str, most: int) -> int | None:
+    """The number in a span attribute, as far as it is one."""
+    found = _NUMBER.match(node.get(name) or "") if node.attrs else None
+    return None if not found else most if len(found[1]) > 6 else min(int(found[1]), most)
+
+
+def _cells(node: Node, groups: list[list[list[_Cell]]], captions: list[str]) -> Generator:
+    """Rows of cells by row group, and the lines of whatever else stands in a table."""
     loose: list = []
 
     def flush() -> Generator:
@@ -301,45 +341,78 @@ def _cells(node: Node, rows: list[list[str]], captions: list[str]) -> Generator:
             captions.extend((yield _text_lines(holder)))
         loose.clear()
 
+    groups.append([])
     for child in node.children:
         tag = "" if isinstance(child, str) else child.tag
         if tag in ("thead", "tbody", "tfoot") and visible(child):
             yield flush()
-            yield _cells(child, rows, captions)
+            yield _cells(child, groups, captions)
+            groups.append([])
         elif tag == "tr" and visible(child):
             yield flush()
-            row: list[str] = []
+            row: list[_Cell] = []
             for cell in child.children:
                 if isinstance(cell, str):
                     if cell.strip():
-                        row.append(" ".join(unescape(cell).split()))
+                        row.append(_Cell(" ".join(unescape(cell).split())))
                 elif visible(cell):
                     holder = cell
                     if cell.tag not in _CELL:
                         holder = Node("div")
                         holder.children = [cell]
-                    row.append(" ".join(x.strip() for x in (yield _text_lines(holder)) if x))
-                    span = cell.get("colspan") if cell.attrs else None
-                    if span and span.isdigit():
-                        row += [""] * (min(int(span), 50) - 1)
-            if any(row):
-                rows.append(row)
+                    text = " ".join(x.strip() for x in (yield _text_lines(holder)) if x)
+                    height = span(cell, "rowspan", MOST_ROWS)
+                    row.append(_Cell(text, span(cell, "colspan", MOST_COLUMNS) or 1, MOST_ROWS if height == 0 else height or 1))
+            groups[-1].append(row)
         elif tag not in ("col", "colgroup"):
             loose.append(child)
     yield flush()
 
 
+def _place(rows: list[list[_Cell]]) -> None:
+    """Give the cells of a row group their columns: each takes the next that no cell from above fills."""
+    above: list[tuple[int, int, int]] = []  # first column, the one behind, the row behind, by column
+    for k, row in enumerate(rows):
+        above = [x for x in above if x[2] > k]
+        at, i, new = 0, 0, []
+        for cell in row:
+            while i < len(above) and above[i][0] <= at:
+                at = max(at, above[i][1])
+                i += 1
+            cell.start, cell.end = at, at + cell.end
+            at = cell.end
+            if cell.rows > 1:
+                new.append((cell.start, cell.end, k + cell.rows))
+        above = sorted(above + new) if new else above
+
+
 def _table(node: Node) -> Generator:
-    """Captions and loose text first, then one line a row, cells padded to their column's width."""
-    rows: list[list[str]] = []
+    """Captions and loose text first, then one line a row, cells padded to their columns' width."""
+    groups: list[list[list[_Cell]]] = []
     captions: list[str] = []
-    yield _cells(node, rows, captions)
-    widths: list[int] = []
-    for row in rows:
-        widths += [0] * (len(row) - len(widths))
-        for k, cell in enumerate(row):
-            widths[k] = max(widths[k], min(len(cell), CELL_WIDTH))
-    return captions + [" | ".join(cell.ljust(w) for cell, w in zip(row, widths)).rstrip() for row in rows]
+    yield _cells(node, groups, captions)
+    for rows in groups:
+        _place(rows)
+    rows = [row for rows in groups for row in rows if any(cell.text for cell in row)]
+    # Only columns in which a cell starts count; a cell runs up to the first that starts behind it.
+    starts = sorted({cell.start for row in rows for cell in row})
+    widths = [0] * len(starts)
+    places = [[(bisect_left(starts, c.start), max(bisect_left(starts, c.end), bisect_left(starts, c.start) + 1), c.text, columns_of(c.text)) for c in row] for row in rows]
+    for a, b, _, size in (x for row in places for x in row):
+        if b == a + 1:
+            widths[a] = max(widths[a], min(size, CELL_WIDTH))
+    ends = list(accumulate((w + len(_BETWEEN) for w in widths), initial=0))
+    across = lambda a, b: min(ends[b] - ends[a] - len(_BETWEEN), SPAN_WIDTH) if b > a + 1 else widths[a]
+    lines = []
+    for row in places:
+        line, at = [], 0
+        for a, b, text, size in row:
+            if a > at:
+                line.append(" " * across(at, a))
+            line.append(text + " " * max(0, across(a, b) - size))
+            at = b
+        lines.append(_BETWEEN.join(line).rstrip())
+    return captions + lines
 
 
 def _text_lines(node: Node) -> Generator:
@@ -358,7 +431,7 @@ def html_text(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html")
     """The visible text of every whole page.
 
     Returns ``id_col``, ``text`` and ``n_chars``. A null or empty page has the empty text,
-    broken markup is read as far as it goes, elements nest to any depth (each list within a list
+    broken markup and numbers of any size are read as far as they go, elements nest to any depth (each list within a list
     indents its lines, so many levels of lists make long lines), a null id stays null, repeated rows each give a
     row, other columns are not read, an empty table gives an empty result.
     """
