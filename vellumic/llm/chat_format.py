@@ -1,8 +1,8 @@
 """Chat formatting: conversations assembled column by column into one Arrow buffer.
 
 A turn is written as ``<turn ROLE>`` newline TEXT ``</turn>`` newline. Inside roles and texts
-a backslash goes before every backslash, before ``<turn`` and ``</turn`` and before ``###``,
-so that a control string in a text never reads as one, and taking each backslash away again
+a backslash goes before every backslash and every ``>``, before ``<turn`` and ``</turn`` and
+before ``###``, so that a control string in a text never reads as one, and taking each backslash away again
 gives the text back.
 """
 
@@ -94,11 +94,14 @@ def chat_format(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tu
     Returns ``conv_col``, ``formatted`` and ``loss`` (start, end in UTF-8 bytes of each
     assistant text in ``formatted``, escapes included). Turns go by ``turn_col``, then role,
     then text, nulls first, so ties have one order; repeated rows stay repeated turns. A null
-    role or text is empty, rows with a null conversation form one conversation, an empty
-    table gives an empty result; other columns are not read.
+    role or text is empty, an empty table gives an empty result; other columns are not read. A
+    row with a null conversation belongs to no other row: it is a conversation of its one turn,
+    with a null id. A conversation is one string, so its text is bounded by Arrow's 2 GB.
     """
     turn = F.struct(named(turn_col, "turn"), named(role_col, "role"), named(text_col, "text"))
-    grouped = df.groupBy(named(conv_col, "conv")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = df.select(named(conv_col, "conv"), turn.alias("turn"))
+    grouped = turns.where("conv IS NOT NULL").groupBy("conv").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    grouped = grouped.unionByName(turns.where("conv IS NULL").select("conv", F.array("turn").alias("turns")))
     rows = grouped.select("conv", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
