@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,22 +21,34 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn", "account")
+KINDS = (*BASE_KINDS, "iban", "ssn", "account", "dni", "nir", "steuer", "routing")
 
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ACCOUNT = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])")
 #: Characters of the shortest match of IBAN, without spaces.
 IBAN_MIN = 12
-#: Score of a proposed span, and what a context word within ``NEAR`` code points adds to it.
-SCORES = {"iban": 0.8, "ssn": 0.4, "account": 0.35}
+# Forms of Spanish, French and German personal numbers and of American bank numbers.
+DNI = re.compile(r"(?<![A-Za-z0-9-])[XYZ0-9]-?[0-9]{7}-?[A-Z](?![A-Za-z0-9-])")
+NIR = re.compile(r"(?<![A-Za-z0-9])[12]\x20?[0-9]{2}\x20?(?:0[1-9]|1[0-2])\x20?(?:[0-9]{2}|2[AB])\x20?[0-9]{3}\x20?[0-9]{3}\x20?[0-9]{2}(?![A-Za-z0-9])")
+STEUER = re.compile(r"(?<![0-9])[1-9][0-9]\x20?[0-9]{3}\x20?[0-9]{3}\x20?[0-9]{3}(?![0-9])")
+ROUTING = re.compile(r"(?<![0-9-])[0-9]{9}(?![0-9-])")
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+#: Score of a proposed span that its checksum confirms, and what a context word within ``NEAR``
+#: code points adds to it. Words count whole, or with a plural s.
+SCORES = {"iban": 0.8, "ssn": 0.4, "account": 0.35, "dni": 0.5, "nir": 0.65, "steuer": 0.35, "routing": 0.35}
+_words = lambda joined: re.compile(rf"(?<![^\W\d_])(?:{joined})s?(?![^\W\d_])", re.IGNORECASE)
 CONTEXT = {
-    "iban": re.compile("iban|bank|konto|compte|cuenta|transfer", re.IGNORECASE),
-    "ssn": re.compile("ssn|social|security|tax", re.IGNORECASE),
-    "account": re.compile("card|visa|amex|credit|carte|karte|tarjeta|payment", re.IGNORECASE),
+    "iban": _words("iban|bank|konto|bankkonto|bankverbindung|compte|cuenta|transfer"),
+    "ssn": _words("ssn|social|security|tax"),
+    "account": _words("card|visa|amex|credit|carte|karte|kreditkarte|tarjeta|payment"),
+    "dni": _words("dni|nie|nif|identidad|identificación"),
+    "nir": _words("nir|insee|sécu|sécurité|sociale"),
+    "steuer": _words("steuer|steuernummer|steuerid|idnr|identifikationsnummer"),
+    "routing": _words("routing|aba|bank|account"),
 }
 #: Words that speak against personal data.
-AGAINST = re.compile("order|invoice|isbn|version|serial|part no", re.IGNORECASE)
+AGAINST = _words("order|invoice|isbn|version|serial|part no")
 NEAR, BOOST, REPORT = 48, 0.3, 0.6
 _DIGITS = re.compile("[0-9]")
 
@@ -56,6 +69,33 @@ def mod97(code: str) -> bool:
     return rest == 1
 
 
+def dni(code: str) -> bool:
+    """Whether a Spanish number's letter is that of its digits."""
+    code = code.replace("-", "")
+    number = code[:-1].replace("X", "0").replace("Y", "1").replace("Z", "2")
+    return DNI_LETTERS[int(number) % 23] == code[-1]
+
+
+def nir(code: str) -> bool:
+    """Whether the last two digits of a French number are its key; departments 2A and 2B count as 19 and 18."""
+    code = code.replace(" ", "").replace("2A", "19").replace("2B", "18")
+    return 97 - int(code[:13]) % 97 == int(code[13:])
+
+
+def steuer(code: str) -> bool:
+    """Whether the last digit of a German number is its mod 11, 10 check."""
+    digits = [int(c) for c in code if c != " "]
+    product = 10
+    for d in digits[:-1]:
+        product = ((d + product) % 10 or 10) * 2 % 11
+    return (11 - product) % 10 == digits[-1]
+
+
+def routing(code: str) -> bool:
+    """Whether a bank's nine digits, weighed 3, 7 and 1, add up to tens."""
+    return code != "0" * 9 and sum(int(c) * w for c, w in zip(code, (3, 7, 1) * 3)) % 10 == 0
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches, found from each ``@``: its local part is the run before it."""
     last, at = 0, text.find("@")
@@ -115,22 +155,46 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
-    """The kind's score, raised or lowered by the words near the span."""
-    near = text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]
-    return SCORES[kind] + BOOST * bool(CONTEXT[kind].search(near)) - BOOST * bool(AGAINST.search(near))
+    """The kind's score, raised or lowered by the words that stand whole near the span."""
+    near = []
+    for lo, hi in ((max(0, start - NEAR), start), (end, min(len(text), end + NEAR))):
+        while lo and lo < hi and text[lo - 1].isalpha() and text[lo].isalpha():
+            lo += 1
+        while hi < len(text) and lo < hi and text[hi].isalpha() and text[hi - 1].isalpha():
+            hi -= 1
+        near.append(text[lo:hi])
+    found = lambda pattern: any(map(pattern.search, near))
+    return SCORES[kind] + BOOST * found(CONTEXT[kind]) - BOOST * found(AGAINST)
+
+
+def proposed_spans(text: str) -> Iterator[_spans.Span]:
+    """Spans of the further kinds that a checksum, or for numbers without one their form, confirms."""
+    yield from (("iban", *span) for span in ibans(text))
+    yield from (("ssn", *m.span()) for m in SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9")
+    yield from (("account", *m.span()) for m in ACCOUNT.finditer(text) if luhn(_digits(m)))
+    for kind, pattern, check in (("dni", DNI, dni), ("nir", NIR, nir), ("steuer", STEUER, steuer), ("routing", ROUTING, routing)):
+        yield from ((kind, *m.span()) for m in pattern.finditer(text) if check(m[0]))
 
 
 def scored_spans(text: str, base: list[_spans.Span]) -> list[_spans.Span]:
-    """Confirmed spans of the further kinds that reach ``REPORT`` and overlap no base span."""
+    """Confirmed spans of the further kinds that reach ``REPORT`` and overlap no base span.
+
+    Of such spans that overlap, the one with the highest score stays, of equals the first, then
+    the longest, then the kind listed first.
+    """
     if not _DIGITS.search(text):
         return []
-    proposed = [("iban", *span) for span in ibans(text)]
-    proposed += [("ssn", *m.span()) for m in SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9"]
-    proposed += [("account", *m.span()) for m in ACCOUNT.finditer(text) if luhn(_digits(m))]
-    out, taken = [], _spans.Cover(base)
-    for kind, start, end in proposed:
-        if score(text, kind, start, end) >= REPORT and not taken.touches(start, end):
-            out.append((kind, start, end))
+    taken = _spans.Cover(base)
+    rated = [(-score(text, *s), s[1], -s[2], KINDS.index(s[0]), s) for s in proposed_spans(text) if not taken.touches(s[1], s[2])]
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for rate, *_, span in sorted(rated):
+        at = bisect_left(starts, span[2])  # behind all chosen spans that start before this one's end
+        if -rate >= REPORT - 1e-9 and (not at or ends[at - 1] <= span[1]):
+            starts.insert(at, span[1])
+            ends.insert(at, span[2])
+            out.append(span)
     return out
 
 
