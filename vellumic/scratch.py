@@ -30,18 +30,51 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+_FOLDERS: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application keeps; nothing may read them any more."""
+    _delete(spark, f"{shared_dir(spark)}/vellumic-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _at_exit(spark: SparkSession, folder: str) -> None:
+    try:
+        _delete(spark, folder)
+    except Exception:  # the session's Java process has gone already
+        pass
+
+
 class Scratch:
     """Tables written below :func:`shared_dir`, reread without lineage and with known sizes.
 
-    They lie in one folder for each application, to be deleted when it has ended: results are
-    read lazily, so nothing here can tell when a table is read for the last time.
+    They lie in one folder for each application, which owns them: it is deleted when the
+    driver's Python ends or by :func:`release`, since results are read lazily and nothing here
+    can tell when a table is read for the last time. Where an operator can, because all that
+    it returns lies elsewhere, it keeps tables in a ``with`` block, behind which they go. Only
+    a driver that is killed leaves its folder behind.
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        folder = f"{shared_dir(spark)}/vellumic-{spark.sparkContext.applicationId}"
+        if folder not in _FOLDERS:
+            _FOLDERS.add(folder)
+            atexit.register(_at_exit, spark, folder)
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/vellumic-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        self.base = f"{folder}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        _delete(self.spark, self.base)
+
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and return the table as read back."""
         self.count += 1
@@ -53,5 +86,4 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that :meth:`keep` wrote and nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df._scratch_path)
