@@ -3,15 +3,23 @@
 Texts with the same shingle set are one class, with the least id as its representative.
 Representatives carry minwise tokens; each of ``TREES`` independent trees sends them down
 paths: a hash of the node chooses two or three sets of tokens (four in a set at 85 percent,
-three at 80), and for each set a node has a child for each combination of their values. Nodes of up to ``SMALL`` members are compared exhaustively, first on sketches, then
-on full shingle sets. A node that is still larger after ``LEVELS`` levels is compared
-exhaustively as well, in blocks that are dealt out over tasks, so nothing is capped.
+three at 80), and for each set a node has a child for each combination of their values.
+Nodes of up to ``SMALL`` members are compared exhaustively, first on sketches, then on full
+shingle sets.
+
+In a larger node one member, its hub, is compared with all others, on sketches and then on
+full sets, so that a group of near copies becomes one component at once. Of the rest only
+pairs of different components are left: if few members are of another component than the
+hub's, they are compared with all members, otherwise the node branches. Behind the last of
+``LEVELS`` levels new hubs are compared, and then all members of other components with all
+members, in blocks that are dealt out over tasks, so nothing is capped.
 
 Method: T. Christiani, R. Pagh, J. Sivertsen, "Scalable and Robust Set Similarity Join", 2018.
 Recall: a pair at the threshold of 85 percent meets in a small node of a given tree with
 probability 0.85, so 8 trees miss it with 3e-7 (3e-6 at 80 percent). A step keeps such a pair
 together in a given child with probability 0.52 (0.85 to the fourth), in one of 2.4 children on average with 0.83; after two
-steps 8 trees miss it with 6e-4, after three with 2e-3. Closer pairs are missed less often.
+steps 8 trees miss it with 6e-4, after three with 2e-3. Sketches hold a pair at the threshold
+back with 3e-8. Closer pairs are missed less often.
 """
 
 from __future__ import annotations
@@ -22,12 +30,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumic.llm._arrow import extended, groups, map_slices, named
 from vellumic.llm._shingles import Sketcher, shingle_set
 from vellumic.operators.components import components
+from vellumic.operators.skew import join_counted
 from vellumic.scratch import Scratch
 
 WIDTH = 5
@@ -38,8 +48,8 @@ TREES, SKETCH, SMALL, LEVELS = 8, 128, 192, 4
 STEP_KEEPS = 0.52
 #: Share of nodes, in percent, that branch over three sets of tokens and not two.
 THREE_SETS = 40
-#: Equal tokens of a sketch, less four standard deviations, from which sets are compared.
-SKETCH_SLACK = 4.1
+#: Equal tokens of a sketch, less so many standard deviations, from which sets are compared.
+SKETCH_SLACK = 5.5
 #: Pairs of a block whose shingles are matched at once, and shingles of a matrix product.
 COLUMNS = 4096
 #: Words of the filter that keeps other documents' texts where they are (16 bytes each).
@@ -67,13 +77,11 @@ def features(df: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _counted(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """``members`` of nodes that have two or more, with the node's size ``c``.
-
-    Sizes are aggregated before they are joined back, so a large node is dealt out.
-    """
+    """``members`` of nodes that have two or more, with the node's size ``c``."""
     members = scratch.keep(members)
     sizes = members.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-    return members.join(sizes, "node")
+    # Members of nodes that have no others are not worth a shuffle, so sizes may be missing.
+    return join_counted(members, sizes, "node", "c", members.count())
 
 
 def tokens_of_step(percent: int) -> int:
@@ -81,39 +89,142 @@ def tokens_of_step(percent: int) -> int:
     return max(1, round(math.log(STEP_KEEPS) / math.log(min(percent, 99) / 100)))
 
 
-def candidate_units(reps: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """(unit, id, sketch): what has to be compared within each unit of bounded size."""
-    level = reps.select("id", F.posexplode("keys").alias("tree", "key")).select("id", F.xxhash64("tree", "key").alias("node"))
-    level = scratch.keep(_counted(level, scratch).select("id", "node", "c"))
-    sketches = reps.select("id", "sketch")
-    done = [level.where(F.col("c") <= SMALL).select(F.col("node").alias("unit"), "id").join(sketches, "id")]
-    large = level.where(F.col("c") > SMALL).join(sketches, "id")
-    for depth in range(2, LEVELS + 1):
-        if large.isEmpty():
-            return _together(done)
+def least_agreement(percent: int) -> int:
+    """Equal tokens that two sketches have at least, if their sets may be linked."""
+    p = percent / 100
+    return int(SKETCH * p - SKETCH_SLACK * (SKETCH * p * (1 - p)) ** 0.5)
+
+
+class Search:
+    """The candidates of a set of representatives, and what is known of their links."""
+
+    def __init__(self, reps: DataFrame, texts: DataFrame, scratch: Scratch, width: int, percent: int):
+        self.sketches = reps.select("id", "sketch")
+        self.keys = reps.select("id", "keys")
+        self.texts, self.scratch, self.width, self.percent = texts, scratch, width, percent
+        self.edges: list[DataFrame] = []
+        self.roots: DataFrame | None = None
+
+    def links(self) -> DataFrame:
+        """(a, b): links that join all that may be linked."""
+        level = self.keys.select("id", F.posexplode("keys").alias("tree", "key")).select("id", F.xxhash64("tree", "key").alias("node"))
+        level = self.scratch.keep(_counted(level, self.scratch))
+        units = [self._small(level)]
+        large = self._hubs(level.where(F.col("c") > SMALL), 1)
+        for depth in range(2, LEVELS + 1):
+            if large is None:
+                break
+            units.append(self._against_others(large.where(F.col("others") <= SMALL)))
+            large = large.where(F.col("others") > SMALL)
+            if large.isEmpty():
+                large = None
+                break
+            level = self.scratch.keep(_counted(self._children(large.join(self.sketches, "id"), depth), self.scratch))
+            units.append(self._small(level))
+            large = self._hubs(level.where(F.col("c") > SMALL), depth) if depth == LEVELS else self._labelled(level.where(F.col("c") > SMALL), depth)
+        if large is not None:
+            units.append(self._against_others(large))
+        together = units[0]
+        for unit in units[1:]:
+            together = together.unionByName(unit)
+        together = together.join(self.sketches, "id")
+        clusters = together.repartition("unit").sortWithinPartitions("unit").mapInArrow(_sketch_clusters(self.percent), "cluster long, id long")
+        self._verify(clusters.distinct())
+        out = self.edges[0]
+        for edges in self.edges[1:]:
+            out = out.unionByName(edges)
+        return out
+
+    def _children(self, large: DataFrame, depth: int) -> DataFrame:
+        """(id, node) of the next level."""
         three = F.pmod(F.xxhash64("node", F.lit(f"three{depth}")), F.lit(100)) < THREE_SETS
         sets = F.when(three, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
         child = large.select("id", "sketch", "node", F.explode(sets).alias("s"))
-        places = [F.pmod(F.xxhash64("node", "s", F.lit(k), F.lit(depth)), F.lit(SKETCH)).cast("int") for k in range(tokens_of_step(percent))]
+        places = [F.pmod(F.xxhash64("node", "s", F.lit(k), F.lit(depth)), F.lit(SKETCH)).cast("int") for k in range(tokens_of_step(self.percent))]
         values = [F.substring("sketch", 2 * place + 1, F.lit(2)) for place in places]
-        child = child.select("id", "sketch", F.xxhash64("node", "s", *values).alias("node"))
-        level = scratch.keep(_counted(child, scratch))
-        done.append(level.where(F.col("c") <= SMALL).select(F.col("node").alias("unit"), "id", "sketch"))
-        large = level.where(F.col("c") > SMALL)
-    if not large.isEmpty():
-        # Blocks of about SMALL members; unit (i, j) holds blocks i and j of a node.
-        blocks = large.select("*", F.ceil(F.col("c") / SMALL).cast("int").alias("n"))
-        blocks = blocks.select("*", F.pmod(F.xxhash64("id", F.lit("block")), F.col("n")).cast("int").alias("i"))
-        pairs = blocks.select("node", "id", "sketch", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-        done.append(pairs.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "id", "sketch"))
-    return _together(done)
-
-
-def _together(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0].select("unit", "id", "sketch")
-    for part in parts[1:]:
-        out = out.unionByName(part.select("unit", "id", "sketch"))
-    return out
+        return child.select("id", F.xxhash64("node", "s", *values).alias("node"))
+
+    def _small(self, level: DataFrame) -> DataFrame:
+        return level.where(F.col("c") <= SMALL).select(F.col("node").alias("unit"), "id", F.col("id").alias("label"))
+
+    def _hubs(self, large: DataFrame, depth: int) -> DataFrame | None:
+        """``large`` as :meth:`_labelled`, after its hubs were compared with all members; None if it is empty."""
+        if large.isEmpty():
+            return None
+        hubs = self._hub_of(large, depth)
+        sketched = hubs.join(self.sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
+        pairs = join_counted(large.select("id", "node"), sketched, "node", "c", large.count()).join(self.sketches, "id")
+        pairs = self.scratch.keep(pairs.select("hub", "id", "hub_sketch", "sketch").mapInArrow(_near_hub(self.percent), "hub long, id long").distinct())
+        if not pairs.isEmpty():
+            # Members of about SMALL go to one cluster, and the hub to each cluster of its members.
+            sizes = pairs.groupBy("hub").agg(F.count("*").alias("n"))
+            parts = join_counted(pairs, sizes, "hub", "n", pairs.count())
+            parts = parts.select("hub", "id", F.pmod(F.xxhash64("id", F.lit("part")), F.ceil(F.col("n") / SMALL)).alias("part"))
+            parts = parts.select(F.xxhash64("hub", "part").alias("cluster"), "hub", "id")
+            clusters = parts.select("cluster", "id").unionByName(parts.select("cluster", F.col("hub").alias("id")).distinct())
+            self._verify(clusters)
+            links = self.edges[0]
+            for edges in self.edges[1:]:
+                links = links.unionByName(edges)
+            self.roots = self.scratch.keep(components(links, self.scratch))
+        return self._labelled(large, depth)
+
+    @staticmethod
+    def _hub_of(large: DataFrame, depth: int) -> DataFrame:
+        """(node, hub, c): the member of each node that comes first in an order which all nodes share."""
+        first = F.min(F.struct(F.xxhash64("id", F.lit(f"hub{depth}")).alias("h"), "id"))
+        return large.groupBy("node").agg(first.alias("f"), F.first("c").alias("c")).select("node", F.col("f.id").alias("hub"), "c")
+
+    def _labelled(self, large: DataFrame, depth: int) -> DataFrame | None:
+        """``large`` with each member's component ``label``, whether it is an ``other`` than the hub's, and their number ``others``."""
+        if large.isEmpty():
+            return None
+        large, hubs = self.scratch.keep(large.select("id", "node", "c")), self._hub_of(large, depth)
+        total = large.count()
+        if self.roots is None:
+            large = large.select("*", F.col("id").alias("label"))
+            hubs = hubs.select("node", F.col("hub").alias("hub_label"), "c")
+        else:
+            root = self.roots.withColumnRenamed("node", "id")
+            large = large.join(root, "id", "left").select("id", "node", "c", F.coalesce("root", "id").alias("label"))
+            hubs = hubs.join(root.withColumnRenamed("id", "hub"), "hub", "left").select("node", F.coalesce("root", "hub").alias("hub_label"), "c")
+        large = join_counted(large.drop("c"), hubs, "node", "c", total)
+        large = self.scratch.keep(large.select("id", "node", "c", "label", (F.col("label") != F.col("hub_label")).alias("other")))
+        others = large.groupBy("node").agg(F.count_if("other").alias("others"), F.first("c").alias("c"))
+        return self.scratch.keep(join_counted(large.drop("c"), others, "node", "c", total))
+
+    @staticmethod
+    def _against_others(large: DataFrame) -> DataFrame:
+        """Units of about ``SMALL`` other members and ``SMALL`` members: all others meet all members."""
+        blocks = lambda size: F.ceil(F.col(size) / SMALL).cast("int")
+        block_of = lambda size, name: F.pmod(F.xxhash64("id", F.lit(name)), blocks(size)).cast("int")
+        range_of = lambda size: F.explode(F.sequence(F.lit(0), blocks(size) - 1))
+        large = large.where("others > 0")
+        members = large.select("node", "id", "label", range_of("others").alias("i"), block_of("c", "all").alias("j"))
+        others = large.where("other").select("node", "id", "label", block_of("others", "other").alias("i"), range_of("c").alias("j"))
+        return members.unionByName(others).select(F.xxhash64("node", "i", "j").alias("unit"), "id", "label")
+
+    def _verify(self, clusters: DataFrame) -> None:
+        """Keep the links among the members of each cluster, as full sets have them."""
+        clusters = self.scratch.keep(clusters)
+        texts = _maybe_among(self.texts, clusters, self.scratch).join(clusters, "id").select("cluster", "id", "text")
+        edges = texts.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_exact_links(self.width, self.percent), "a long, b long")
+        self.edges.append(self.scratch.keep(edges))
+
+
+def _near_hub(percent: int):
+    least = least_agreement(percent)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(hub, id) of (hub, id, hub_sketch, sketch) that may be linked."""
+        for batch in batches:
+            if batch.num_rows:
+                hubs, sketches = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SKETCH) for k in (2, 3))
+                near = pa.array((hubs == sketches).sum(axis=1) >= least)
+                pairs = batch.select(["hub", "id"]).filter(near)
+                yield pairs.filter(pc.not_equal(pairs.column(0), pairs.column(1)))
+
+    return run
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,19 +245,20 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sketch_clusters(percent: int):
-    p = percent / 100
-    least = int(SKETCH * p - SKETCH_SLACK * (SKETCH * p * (1 - p)) ** 0.5)
+    least = least_agreement(percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(cluster, id): members of a unit joined by sketches that may belong to linked texts."""
+        """(cluster, id): members of a unit joined by sketches that may belong to linked texts of different labels."""
         clusters, members = [], []
         for unit in groups(batches, "unit"):
             ids, first = np.unique(unit["id"].to_numpy(), return_index=True)
             if len(ids) > 1:
                 sketches = np.frombuffer(b"".join(unit["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)[first]
+                labels = unit["label"].to_numpy()[first]
                 a, b = [], []
                 for i in range(len(ids) - 1):
-                    near = np.flatnonzero((sketches[i + 1 :] == sketches[i]).sum(axis=1) >= least) + i + 1
+                    apart = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+                    near = apart[(sketches[apart] == sketches[i]).sum(axis=1) >= least]
                     a.append(np.full(len(near), i))
                     b.append(near)
                 label = _labels(len(ids), np.concatenate(a), np.concatenate(b))
@@ -225,19 +337,18 @@ def _maybe_among(df: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_classes(df: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(features, roots): features of (id, text), and (set_hash, root) of sets in larger components."""
+    """(features, roots): features of (id, text), and (set_hash, n, root) of the sets of n rows in larger components."""
     found = scratch.keep(features(df, width))
     reps = scratch.keep(
         found.where("set_hash IS NOT NULL AND id IS NOT NULL").groupBy("set_hash").agg(F.min(F.struct("id", "keys", "sketch")).alias("r"), F.count("*").alias("n")).select("set_hash", "n", "r.id", "r.keys", "r.sketch")
     )
-    units = candidate_units(reps, scratch, percent)
-    clusters = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_sketch_clusters(percent), "cluster long, id long")
-    clusters = scratch.keep(clusters.distinct())
-    texts = _maybe_among(df.select("id", "text"), clusters, scratch).join(clusters, "id").select("cluster", "id", "text")
-    edges = texts.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_exact_links(width, percent), "a long, b long")
-    roots = components(edges, scratch)
-    roots = reps.select("set_hash", "n", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    return found, scratch.keep(roots.where("n > 1 OR root IS NOT NULL").select("set_hash", F.coalesce("root", "id").alias("root")))
+    with Scratch(scratch.spark, "neardup-search") as work:
+        links = Search(reps, df.select("id", "text"), work, width, percent).links()
+        roots = components(links, work)
+        roots = reps.select("set_hash", "n", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+        roots = scratch.keep(roots.where("n > 1 OR root IS NOT NULL").select("set_hash", "n", F.coalesce("root", "id").alias("root")))
+    scratch.drop(reps)
+    return found, roots
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -255,7 +366,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found, roots = near_classes(df.select(named(id_col, "id"), named(text_col, "text")), scratch, width, percent)
     # Texts without words get a key of their own, so that they do not meet in one task.
     own = F.coalesce("set_hash", F.col("id").cast("string").cast("binary"))
-    out = found.select("id", "n_shingles", own.alias("set_hash")).join(roots, "set_hash", "left")
+    rows = found.select("id", "n_shingles", own.alias("set_hash"))
+    out = join_counted(rows, roots, "set_hash", "n", found.count(), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
