@@ -59,7 +59,7 @@ def _calls(texts: list[str], split: bool) -> Iterator[tuple[list[str], list[int]
         for part in safe_parts(text) if split and len(text) > SPLIT_CHARS else (text,):
             parts.append(part)
             rows.append(row)
-            held += len(part)
+            held += len(part) if part.isascii() else len(part.encode())
             if held >= CALL_BYTES:
                 yield parts, rows
                 parts, rows, held = [], [], 0
