@@ -20,8 +20,9 @@ from vellumic.llm._arrow import named
 from vellumic.scratch import Scratch
 
 LEVELS = ("domain", "language", "leaf")
-#: Documents of a leaf that one hash range holds on average, up to so many ranges.
-RANGE_DOCS, MOST_RANGES = 1024, 65535
+#: Documents of a leaf that one hash range holds on average; the hash has 31 bits for ranges, so
+#: this holds for leaves of up to 2e12 documents.
+RANGE_DOCS, MOST_RANGES = 1024, (1 << 31) - 1
 BROADCAST_LEAVES = 100_000
 #: The words of a text stand for its tokens.
 WORD = r"[^\x20\x09-\x0D]+"
