@@ -83,6 +83,17 @@ def test_quality_of_edges(spark, docs):
     assert got[1].kept and got[6].word_chars == 0 and got[5].n_words == 120_000
 
 
+def test_many_bad_hosts_find_the_same(spark, monkeypatch):
+    soft, clean = " ".join(f"word{i}###" for i in range(30)), " ".join(f"word{i}" for i in range(30))
+    hosts = [None, "", "a", "b", "c"]
+    rows_ = [(k, None if k == 7 else clean if k % 5 == 0 else soft, "en", hosts[k % 5] if k % 3 else "good", 1) for k in range(120)] + [(200 + k, clean, "en", "good", 1) for k in range(200)]
+    docs = spark.createDataFrame(rows_, SCHEMA)
+    table, kept = rows(quality_rules.quality_table(docs)), rows(quality_rules.quality_filter(docs))
+    assert any("bad_host': True" in r for r in table) and len(kept) < 320
+    monkeypatch.setattr(quality_rules, "BROADCAST_HOSTS", 0)
+    assert rows(quality_rules.quality_table(docs)) == table and rows(quality_rules.quality_filter(docs)) == kept
+
+
 def test_contaminated_documents(spark, docs):
     got = sorted((r.doc_id, r.item_id, r.item_words, r.n_agree, r.first_word) for r in TABLES["op4"](spark, docs).collect())
     assert got == [(1, 0, 32, 32, 16), (1, 0, 32, 32, 16), (2, 0, 32, 32, 16)]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumic.llm._arrow import extended, map_slices, named, packed, texts_of, unpacked
+from vellumic.operators.skew import join_counted
 from vellumic.scratch import Scratch
 
 WINDOW = 8
@@ -25,7 +26,7 @@ SPACES = " \t\n\v\f\r"
 SOFT_SYMBOLS, SOFT_LINES, SOFT_SHORT, SOFT_LONG = 25, 5, 25, 120
 #: A host is rejected from this shrunk rate of failures, in per mille.
 HOST_PER_MILLE = 500
-#: Rejected hosts up to this number are broadcast; more are joined by shuffle.
+#: Rejected hosts up to this number are broadcast; of more, those of very many documents.
 BROADCAST_HOSTS = 100_000
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, soft_failed boolean"
@@ -120,12 +121,24 @@ def host_verdicts(marks: DataFrame, host: str = "host", per_mille: int = HOST_PE
     return hosts.crossJoin(F.broadcast(strength)).select(host, "n_docs", "n_failed", F.expr(shrunk.format(per_mille)).alias("rejected"))
 
 
-def _flagged(df: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
+#: A host as a key that is never null.
+_HOST_KEY = "coalesce(concat('=', host), '')"
+
+
+def _bad_hosts(marks: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """(key, n_docs, bad) of the hosts whose verdict is to reject, their number, and that of all documents."""
+    hosts = scratch.keep(host_verdicts(marks))
+    bad = scratch.keep(hosts.where("rejected").select(F.expr(_HOST_KEY).alias("__host"), F.col("n_docs").alias("__n"), F.lit(True).alias("__bad")))
+    return bad, bad.count(), hosts.agg(F.sum("n_docs")).first()[0] or 0
+
+
+def _flagged(df: DataFrame, bad: DataFrame, n_bad: int, total: int) -> DataFrame:
     """``df`` with ``bad_host``: whether the host's verdict is to reject."""
-    bad = scratch.keep(host_verdicts(marks).where("rejected").select(F.col("host").alias("__host"), F.lit(True).alias("__bad")))
-    if bad.count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
-    return df.join(bad, F.col("host").eqNullSafe(F.col("__host")), "left").withColumn("bad_host", F.coalesce("__bad", F.lit(False))).drop("__host", "__bad")
+    if n_bad <= BROADCAST_HOSTS:
+        out = df.join(F.broadcast(bad), F.expr(_HOST_KEY) == F.col("__host"), "left")
+    else:
+        out = join_counted(df.withColumn("__host", F.expr(_HOST_KEY)), bad, "__host", "__n", total, "left")
+    return out.withColumn("bad_host", F.coalesce("__bad", F.lit(False))).drop("__host", "__n", "__bad")
 
 
 def quality_table(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -139,7 +152,7 @@ def quality_table(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(df.sparkSession, "quality")
     rows = df.select(named(id_col, "id"), named(host_col, "host"), named(text_col, "text"))
     marks = scratch.keep(measured(rows).drop("text"))
-    out = _flagged(marks, marks, scratch)
+    out = _flagged(marks, *_bad_hosts(marks, scratch))
     return out.select(F.col("id").alias(id_col), *_NAMES, "bad_host", _kept().alias("kept"))
 
 
@@ -155,5 +168,11 @@ def quality_filter(df: DataFrame, *, text_col: str = "text", host_col: str = "so
     """
     scratch = Scratch(df.sparkSession, "quality")
     marks = measured(df.select(named(host_col, "host"), named(text_col, "text"))).select("host", "soft_failed")
-    out = _flagged(measured(packed(df, text_col, named(host_col, "host"))), marks, scratch).where(_kept())
+    bad, n_bad, total = _bad_hosts(marks, scratch)
+    rows = measured(packed(df, text_col, named(host_col, "host")))
+    if n_bad <= BROADCAST_HOSTS:
+        out = _flagged(rows, bad, n_bad, total).where(_kept())
+    else:  # only documents that break a weaker rule need their host's verdict, so no other text moves
+        sure = rows.where("NOT base_failed AND NOT soft_failed").withColumn("bad_host", F.lit(False))
+        out = sure.unionByName(_flagged(rows.where("soft_failed AND NOT base_failed"), bad, n_bad, total).where(_kept()))
     return unpacked(out, df.columns, text_col)
