@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A table of up to so many bytes may lie in one row group, which one task would read alone.
-SMALL_TABLE = 20 << 20
-
-
-def spread(df: DataFrame, small: int = SMALL_TABLE) -> DataFrame:
-    """``df`` dealt out over all cores if it is small; larger tables come in many tasks anyway."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small else df
+#: Setting of a session whose owner knows that its files have few row groups, each of which one
+#: task would read alone: rows are then dealt out over so many partitions. Unset, nothing moves.
+PARTITIONS = "spark.vellumic.read.partitions"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    n = spark.conf.get(PARTITIONS, None)
+    return rows.repartition(int(n)) if n else rows
