@@ -37,6 +37,22 @@ def test_epub():
         FS.read_epub(epub(one=""))
 
 
+def test_epub_references_and_titles(spark, tmp_path):
+    opf = """<package xmlns="x"><metadata><title> </title><title>Book   \\( Site.com \\).epub </title><title>Other</title><creator>A</creator><creator>B</creator></metadata>
+<manifest><item id="1" href="Ch%201.xhtml"/><item id="2" href="b.xhtml#top"/><item id="3" href="../c.xhtml"/><item id="4" href="only.xhtml"/><item id="5"/></manifest>
+<spine><itemref idref="3"/><itemref idref="1"/><itemref idref="4"/><itemref idref="2"/><itemref idref="5"/><itemref idref="9"/></spine></package>"""
+    with zipfile.ZipFile(tmp_path / "x.epub", "w") as z:
+        z.writestr("META-INF/container.xml", "<broken")
+        z.writestr("OEBPS/book.OPF", opf)
+        z.writestr("OEBPS/Ch 1.xhtml", "<head><title>no</title></head><svg>no</svg><h2>One</h2><p>ﬁrst &amp; com-\n pound</p>\n\n\n<p>next<br/>line</p>")
+        z.writestr("OEBPS/b.xhtml", "<ul><li>a</li><li>b</li></ul><h4>Deep\n er</h4>")
+        z.writestr("c.xhtml", "<div>zero&nbsp; &eacute;</div>")
+        z.writestr("OEBPS/only.xhtml", "<h1> </h1><h3></h3>")
+    rows = FS.pages(FS.inbox(spark, str(tmp_path))).orderBy("page").collect()
+    assert [r.md for r in rows] == ["zero é", "## One\n\nfirst & compound\n\nnext\n\nline", "a\n\nb\n\n#### Deep er"]
+    assert {(r.title, r.author) for r in rows} == {("Book", "A")}
+
+
 def docx():
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda style, t: f'<w:p>{f"<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>" if style else ""}<w:r><w:t>{t}</w:t></w:r></w:p>'

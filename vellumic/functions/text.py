@@ -110,23 +110,29 @@ def clean_heading(text: Column) -> Column:
     return trimmed(F.regexp_replace(flat, r"^\d{1,4}[\s.:\-–]*", ""))
 
 
+# Endings of book files, sites in brackets at a title's end, and what is trimmed off.
+BOOK_ENDING = r"(?i)\.(?:epub|mobi|azw3?|pdf)\s*$"
+SITE_AT_END = r"(?i)[(\[][^()\[\]]*\.(?:com|net|org|info|ru)[^()\[\]]*[)\]]\s*$"
+TITLE_EDGES = " -–—_"
+
+
 def clean_epub_title(raw: Column) -> Column:
     """A book's title without a file ending or a trailing site in brackets."""
-    ending = r"(?i)\.(?:epub|pdf|mobi|azw3)$"
-    out = F.regexp_replace(trimmed(F.regexp_replace(raw, r"\\([()])", "$1")), ending, "")
-    out = trimmed(F.regexp_replace(out, r"(?i)[(\[][^()\[\]]*\.(?:com|net|org|info|ru)[^()\[\]]*[)\]]\s*$", ""))
-    return F.btrim(F.regexp_replace(F.regexp_replace(out, ending, ""), r"\s{2,}", " "), F.lit(" -–—_"))
+    out = F.regexp_replace(trimmed(F.regexp_replace(raw, r"\\([()])", "$1")), BOOK_ENDING, "")
+    out = trimmed(F.regexp_replace(trimmed(F.regexp_replace(out, SITE_AT_END, "")), BOOK_ENDING, ""))
+    return F.btrim(F.regexp_replace(out, r"\s{2,}", " "), F.lit(TITLE_EDGES))
 
 
-# Words that file names carry and titles do not.
+# Words that file names carry and titles do not, digits before a name, and what no title is.
+FILE_DIGITS, NO_TITLE_ENDING, NO_TITLE = r"^\d{6,}[-_]", r"\.(?:pdf|indd|doc)$", "microsoft word"
 FILE_JUNK = r"(?i)\b(true[- ]?pdf|pdf|ebook|e[- ]book|download|z[- ]?library|libgen|sk[- ]1lib|compressed|compactado|pdfcoffee|com|later|final|scan(ned)?|part\d?|v\d+)\b"
 
 
 def title_of(stated: Column, stem: Column) -> Column:
     """The stated title if it can be one, else a cleaned file name."""
     stated = trimmed(F.coalesce(stated, F.lit("")))
-    usable = (F.length(stated) >= 4) & ~F.lower(stated).rlike(r"\.(?:pdf|indd|doc)$") & ~F.contains(F.lower(stated), F.lit("microsoft word"))
-    name = F.translate(F.regexp_replace(stem, r"^\d{6,}[-_]", ""), "_-", "  ")
+    usable = (F.length(stated) >= 4) & ~F.lower(stated).rlike(NO_TITLE_ENDING) & ~F.contains(F.lower(stated), F.lit(NO_TITLE))
+    name = F.translate(F.regexp_replace(stem, FILE_DIGITS, ""), "_-", "  ")
     name = F.btrim(F.regexp_replace(F.regexp_replace(name, FILE_JUNK, " "), r"\s+", " "), F.lit(" -"))
     return F.when(usable, stated).when(F.length(name) > 0, name).otherwise(stem)
 

@@ -1,7 +1,10 @@
-"""XHTML to markdown-like text with built-in functions only."""
+"""XHTML to markdown-like text: of columns with built-in functions only, of strings for file readers."""
 
 from __future__ import annotations
 
+import re
+from html import unescape
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,16 @@ def markdown(html: Column) -> Column:
     return T.trimmed(F.regexp_replace(T.normalized(out), r"\n{3,}", "\n\n"))
 
 
+def markdown_text(html: str) -> str:
+    """The same for one string, with a heading's text on one line."""
+    out = re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|head|svg)\b[^>]*>.*?</\1\s*>", "", html)
+    out = re.sub(r"(?is)<(h[1-6])\b[^>]*>(.*?)</\1\s*>", lambda m: f"\n\n{'#' * LEVELS[m[1].lower()]} {' '.join(m[2].split())}\n\n", out)
+    out = re.sub(r"(?s)<[a-zA-Z/][^>]*>", "", re.sub(rf"(?i)</?(?:{APART})\b[^>]*>", "\n\n", out))
+    out = unescape(out).translate(str.maketrans(T.TYPOGRAPHY))
+    out = re.sub("[ \t\xa0]+", " ", re.sub(r"(\w)-\s*\n\s*(\w)", r"\1\2", out))
+    return re.sub(r"\n\s*\n", "\n\n", out).strip()
+
+
 def title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
 
