@@ -9,6 +9,7 @@ from vellumic import models
 from vellumic.operators import dense as D
 from vellumic.operators import hybrid as H
 from vellumic.operators import lexical as L
+from vellumic.operators import lexindex as X
 from vellumic.operators.ranking import ranked
 
 DOCS = [("a", "preco preco preco venda"), ("b", "preco outra coisa distinta aqui"), ("c", "nada relevante"), ("d", None)]
@@ -56,7 +57,7 @@ def test_max_fusion_takes_the_better_language(spark):
 
 def test_cut_comes_before_the_filter(spark):
     docs = spark.createDataFrame([(k, "alvo " * (k + 1) + "resto " * 10, "x" if k < 5 else "y") for k in range(10)], "id long, t string, cat string")
-    rows = L.filtered_after(L.tokenized(docs, "id", "t", "cat"), L.questions_of(spark, ["alvo"]), "id", "cat", ["x"], 10, cut=6)
+    rows = L.filtered_after(L.bm25(L.tokenized(docs, "id", "t", "cat"), L.questions_of(spark, ["alvo"]), "id", "cat"), "id", "cat", ["x"], 10, cut=6)
     assert [r.id for r in rows.collect()] == [4]
 
 
@@ -131,3 +132,29 @@ def test_models(spark):
     assert all(len(r.embedding) == models.DIMS for r in rows) and math.isclose(sum(x * x for x in rows[0].embedding), 1, rel_tol=1e-5)
     top = models.reranked(docs.withColumn("s", F.lit(1.0)), "motor novo", "t", "s", "pid", "ch").orderBy("rank").collect()
     assert [r.pid for r in top] == [2, 1]
+
+
+def test_lexical_index(spark, tmp_path):
+    """After every refresh the index scores as a search of the texts does."""
+    root = str(tmp_path / "index")
+    words = ["alvo um", "alvo alvo dois", "tres um", "", "dois alvo quatro", None]
+    docs = spark.createDataFrame([(k, t, "x" if k % 2 else "y") for k, t in enumerate(words)], "id long, t string, cat string")
+    later = [
+        docs,
+        docs.withColumn("t", F.when(F.col("id") == 2, F.lit("alvo novo")).otherwise(F.col("t"))),
+        docs.where("id <> 1").withColumn("cat", F.when(F.col("id") == 4, F.lit("z")).otherwise(F.col("cat"))),
+        docs.limit(0),
+        docs,
+    ]
+    questions = L.questions_of(spark, ["alvo um um", "novo quatro"])
+    rows = lambda df: sorted((r.qid, r.id, r.cat, round(r.score, 9), r.n_terms) for r in df.collect())
+    done = []
+    for state in later:
+        done.append({r.action: r.n for r in X.refresh(spark, root, state, "id", "t", "cat").collect()})
+        want = rows(L.bm25(L.tokenized(state, "id", "t", "cat"), questions, "id", "cat"))
+        assert rows(X.bm25(spark, root, questions, "id", "cat")) == want
+        X.compacted(spark, root, "id") if len(done) == 3 else None
+        assert rows(X.bm25(spark, root, questions, "id", "cat")) == want
+    assert done == [{"embed": 6}, {"embed": 1, "keep": 5}, {"embed": 2, "delete": 1, "keep": 3}, {"delete": 5}, {"embed": 6}]
+    plan = X.bm25(spark, root, questions, "id", "cat")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(term" in plan

@@ -73,9 +73,19 @@ def bm25(lex: DataFrame, questions: DataFrame, key: str, *keep: str) -> DataFram
         held = lex
         tf = lex.select(key, *keep, "n", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     tf = tf.groupBy(key, *keep, "n", "term").agg(F.count("*").alias("tf"))
+    return scored(tf, wanted, totals(held), len(terms) <= MOST_TERMS, key, *keep)
+
+
+def scored(tf: DataFrame, wanted: DataFrame, total: DataFrame, few: bool, key: str, *keep: str) -> DataFrame:
+    """(qid, key, keep, score, n_terms) from counts (key, keep, n, term, tf) of the ``wanted`` (qid, term, times).
+
+    ``few`` says that the questions' terms were counted; they are then broadcast if the
+    (question, term) rows are as few.
+    """
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weights = wanted.join(df, "term").crossJoin(F.broadcast(totals(held)))
-    rows = tf.join(F.broadcast(weights) if len(terms) <= MOST_TERMS else weights, "term")
+    weights = wanted.join(df, "term").crossJoin(F.broadcast(total))
+    small = few and wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    rows = tf.join(F.broadcast(weights) if small else weights, "term")
     part = idf() * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
     scored = rows.groupBy("qid", key, *keep).agg(F.sum(F.col("times") * part).alias("score"), F.count("*").alias("n_terms"))
     return scored.where("score <> 0")
@@ -96,17 +106,16 @@ def search(lex: DataFrame, questions: DataFrame, key: str, most: int) -> DataFra
     return ranked(bm25(lex, questions, key), "score", [key], most=most).select("rank", key, "score", "n_terms")
 
 
-def filtered_after(lex: DataFrame, questions: DataFrame, key: str, category: str, allowed: Sequence[str], most: int, cut: int = RRF_CUT) -> DataFrame:
+def filtered_after(scored: DataFrame, key: str, category: str, allowed: Sequence[str], most: int, cut: int = RRF_CUT) -> DataFrame:
     """(rank, key, category, score): cut to the fused first ``cut``, then filtered, then ranked.
 
     A filter before the cut would let through chapters that the cut excludes.
     """
-    scored = bm25(lex, questions, key, category)
     fused = ranked(scored, "score", [key], by=["qid"], most=cut).groupBy(key, category).agg(F.max(rrf()).alias("score"))
     top = ranked(fused, "score", [key], most=cut, name="place").where(F.col(category).isin(*allowed))
     return ranked(top, "score", [key], most=most).select("rank", key, category, "score")
 
 
 def snippets(chapters: DataFrame, hits: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """(key, snippet) of a few hits."""
-    return chapters.join(F.broadcast(hits.select(key)), key).select(key, T.snippet(F.col(text), terms).alias("snippet"))
+    """(key, snippet) of the hits that a search shows."""
+    return chapters.join(hits.select(key), key).select(key, T.snippet(F.col(text), terms).alias("snippet"))

@@ -2,12 +2,48 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vellumic.operators import lexical, lexindex
+from vellumic.scratch import shared_dir
 from vellumic.sources.tables import table
 
-__all__ = ["FOLD", "Q1", "Q2", "bm25_sql", "lex_sql", "table", "tokens_sql"]
+__all__ = ["FOLD", "Q1", "Q2", "bm25_sql", "indexed_bm25", "lex_sql", "questions_bm25", "table", "tokens_sql"]
 
 Q1, Q2 = "thble thtion ering", "attion erble oning"
 
+#: Of each index that this application built: the files of its documents, as they were then.
+_BUILT: dict[str, tuple] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """(path, length, time) of the files at a path."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(root)))
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the index of ``documents``: loaded, or brought up to date if files changed."""
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    root = f"{shared_dir(spark)}/vellumic-{spark.sparkContext.applicationId}/lexical-{name}"
+    stamp = _stamp(spark, f"{sf_dir}/documents.parquet")
+    if _BUILT.get(root) != stamp:
+        lexindex.refresh(spark, root, table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+        _BUILT[root] = stamp
+    return root
+
+
+def indexed_bm25(spark: SparkSession, sf_dir: str, questions: DataFrame) -> DataFrame:
+    """(qid, doc_id, source, score, n_terms) of ``documents`` from their index."""
+    return lexindex.bm25(spark, lexical_index(spark, sf_dir), questions, "doc_id", "source")
+
+
+def questions_bm25(spark: SparkSession, sf_dir: str, *texts: str) -> DataFrame:
+    return indexed_bm25(spark, sf_dir, lexical.questions_of(spark, texts))
+
 
 #: DuckDB: the folded text of a column, its tokens, and the chapters as a common table.
 FOLD = "regexp_replace(strip_accents(lower({})), '[^\\x00-\\x7F]', '', 'g')"

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from vellumic.functions import vectors as V
 from vellumic.operators import dense as D
 from vellumic.operators import hybrid as H
-from vellumic.operators import lexical as L
 from vellumic.operators.ranking import ranked
-from vellumic.plans.common import Q1, Q2, bm25_sql, table
+from vellumic.plans.common import Q1, Q2, bm25_sql, questions_bm25, table
 
 
 def _vectors(spark, sf_dir):
@@ -96,8 +95,7 @@ def _dense_documents(spark, sf_dir):
 
 
 def _lexical(spark, sf_dir):
-    lex = L.tokenized(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    return L.bm25(lex, L.questions_of(spark, [Q1, Q2]), "doc_id", "source")
+    return questions_bm25(spark, sf_dir, Q1, Q2)
 
 
 def hybrid_round(spark, sf_dir):

@@ -15,7 +15,7 @@ from vellumic.operators import lexical as L
 from vellumic.operators import passages as P
 from vellumic.operators import quality as Q
 from vellumic.operators.ranking import best_per_group, first_per_group, ranked
-from vellumic.plans.common import Q1, Q2, bm25_sql, table, tokens_sql
+from vellumic.plans.common import Q1, Q2, bm25_sql, indexed_bm25, questions_bm25, table, tokens_sql
 from vellumic.sources import chapters as S
 
 
@@ -47,7 +47,7 @@ def extraction_canary(spark, sf_dir):
 
 
 def front_matter(spark, sf_dir):
-    text = F.concat(S.rendered({"titulo": F.concat(F.lit('Um "'), "source", F.lit('": x')), "idioma": F.col("lang")}), F.substring("text", 1, 40))
+    text = F.concat(S.rendered({"titulo": F.concat(F.lit('Um "'), "source", F.lit('": x')), "idioma": F.col("lang")}), F.col("text"))
     rows = _docs(spark, sf_dir).select("doc_id", text.alias("t"))
     return rows.select("doc_id", S.front_matter(F.col("t"))["titulo"].alias("titulo"), S.front_matter(F.col("t"))["idioma"].alias("idioma"), F.md5(S.body(F.col("t"))).alias("body_md5"))
 
@@ -73,9 +73,9 @@ def first_cards(spark, sf_dir):
 
 
 def more_of_document(spark, sf_dir):
-    """Best passages of one document by BM25 over its own passages."""
-    longest = _docs(spark, sf_dir).orderBy(F.col("n_chars").desc(), "doc_id").limit(1)
-    parts = P.passages(longest, "doc_id", "text")
+    """Best passages of a question's first document by BM25 over its own passages."""
+    first = ranked(questions_bm25(spark, sf_dir, Q1), "score", ["doc_id"], most=1).select("doc_id")
+    parts = P.passages(_docs(spark, sf_dir).join(first, "doc_id", "left_semi"), "doc_id", "text")
     scored = L.bm25(L.tokenized(parts, "passage_no", "text"), L.questions_of(spark, [Q1]), "passage_no")
     return ranked(scored, "score", ["passage_no"], most=10).select(F.col("passage_no").alias("passage"), F.round("score", 6).alias("score"))
 
@@ -89,23 +89,21 @@ def passage_bm25(spark, sf_dir):
 
 def documents_in_order(spark, sf_dir):
     """Sources in the order of their first chapter among a question's first 200."""
-    scored = L.bm25(L.tokenized(_docs(spark, sf_dir), "doc_id", "text", "source"), L.questions_of(spark, [Q1]), "doc_id", "source")
-    top = ranked(scored, "score", ["doc_id"], most=200).select("source", "doc_id", "rank")
+    top = ranked(questions_bm25(spark, sf_dir, Q1), "score", ["doc_id"], most=200).select("source", "doc_id", "rank")
     return first_per_group(top, ["source"]).select("rank", "source", "doc_id")
 
 
 def candidate_union(spark, sf_dir):
     """Candidates of two questions, the first one's first, for a reranker."""
-    lex = L.tokenized(_docs(spark, sf_dir), "doc_id", "text")
-    lists = [L.search(lex, L.questions_of(spark, [q]), "doc_id", 50) for q in (Q1, Q2)]
+    lists = [ranked(questions_bm25(spark, sf_dir, q), "score", ["doc_id"], most=50) for q in (Q1, Q2)]
     return H.union_of(lists, "doc_id")
 
 
 def diagnostic_ranking(spark, sf_dir):
-    """Labels by their best of the first 200 vectors."""
+    """Labels by their best of the first 2000 vectors."""
     rows = table(spark, sf_dir, "embeddings")
     query = D.vector_of(rows.where("vec_id = 0"))
-    top = ranked(D.scored(rows, query), "score", ["vec_id"], most=200).drop("rank")
+    top = ranked(D.scored(rows, query), "score", ["vec_id"], most=2000).drop("rank")
     return ranked(best_per_group(top, ["label"], "score", ["vec_id"]), "score", ["vec_id"], most=50).select("rank", "label", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -121,7 +119,7 @@ def body_hashes(spark, sf_dir):
 
 def block_headings(spark, sf_dir):
     """Lines as blocks whose size falls with their length: markdown by ratio to a body of 10."""
-    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line")).where("k < 3")
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
     size = F.when(F.length("line") < 20, 17.0).when(F.length("line") < 60, 12.0).otherwise(10.0)
     md = Y.block_markdown(F.col("line"), F.lit(1), size, F.when(F.col("k") == 0, 1.0).otherwise(0.0), F.lit(10.0), F.lit(False))
     return lines.select("doc_id", F.col("k").cast("long").alias("k"), F.md5(md).alias("md_md5"))
@@ -133,7 +131,7 @@ def eval_grid(spark, sf_dir):
     questions = items.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("q"), "text")
     docs = _docs(spark, sf_dir)
     targets = docs.select("doc_id", "source", F.col("text").alias("body")).join(F.broadcast(questions), F.contains("body", F.col("text"))).select("qid", "doc_id", "source")
-    scored = L.bm25(L.tokenized(docs, "doc_id", "text", "source"), questions, "doc_id", "source")
+    scored = indexed_bm25(spark, sf_dir, questions)
     number = F.substring("source", 4, 9).cast("int")
     domain = targets.select("qid", (number % 3).alias("cut")).distinct()
     cuts = {"none": scored, "domain": scored.withColumn("cut", number % 3).join(domain, ["qid", "cut"], "left_semi"), "category": scored.join(targets.select("qid", "source").distinct(), ["qid", "source"], "left_semi")}
@@ -191,24 +189,24 @@ ORACLES = {
 SELECT doc_id, len(w) BETWEEN 1 AND 6 AND len(list_filter(w[2:], lambda x: lower(x) IN ({_TITLE_STOP}))) = 0 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^\\p{{Lu}}'))) = 0 AS name_only FROM w""",
     "extraction_canary": """WITH x AS (SELECT doc_id, n_chars AS raw, n_chars - doc_id % 4 * n_chars::DOUBLE / 10 AS kept, doc_id % 40 + 1 AS pages FROM documents)
 SELECT doc_id, round(CASE WHEN raw < 1000 THEN 0 ELSE kept / raw END, 6)::DOUBLE AS ratio, raw >= 1000 AND kept / raw < 0.8 AS warn, NOT (raw / 6 < 15 * pages AND raw / 6 < 3000) AS accepted FROM x""",
-    "front_matter": "SELECT doc_id, 'Um ''' || source || ''': x' AS titulo, lang AS idioma, md5(chr(10) || text[1:40]) AS body_md5 FROM documents",
+    "front_matter": "SELECT doc_id, 'Um ''' || source || ''': x' AS titulo, lang AS idioma, md5(chr(10) || text) AS body_md5 FROM documents",
     "context_prefix": f"WITH {_TITLES} SELECT doc_id, (CASE WHEN trim(title) <> '' THEN trim(title) || '. ' ELSE '' END || 'cap ' || doc_id)[1:160] AS prefix FROM ti",
     "document_sample": """WITH x AS (SELECT source, doc_id, text, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents
 ), s AS (SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM x WHERE b <= 20000 AND k <= 40 GROUP BY source) SELECT source, md5(t) AS sample_md5, length(t) AS n_chars FROM s""",
     "category_counts": "SELECT source, count(DISTINCT text) AS n_docs FROM documents GROUP BY source",
     "first_cards": "SELECT source, min(doc_id) AS doc_id, min_by(lang, doc_id) AS lang FROM documents GROUP BY source",
-    "more_of_document": f"WITH one AS (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1), {_passage_scores('one')} SELECT passage_no AS passage, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, passage_no LIMIT 10",
+    "more_of_document": f"WITH one AS (SELECT d.* FROM documents d JOIN (WITH {bm25_sql([Q1])} SELECT doc_id FROM placed WHERE r = 1) USING (doc_id)), {_passage_scores('one')} SELECT passage_no AS passage, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, passage_no LIMIT 10",
     "passage_bm25": f"""WITH {_passage_scores('documents')}, b AS (SELECT doc_id, doc_id * 100000 + passage_no AS pid, score FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, passage_no) = 1)
 SELECT row_number() OVER (ORDER BY round(score, 9) DESC, pid) AS rank, doc_id, pid, round(score, 6) AS score FROM b ORDER BY rank LIMIT 20""",
     "documents_in_order": f"""WITH {bm25_sql([Q1])}, f AS (SELECT source, min(r) AS r, min_by(doc_id, r) AS doc_id FROM placed WHERE r <= 200 GROUP BY source)
 SELECT row_number() OVER (ORDER BY r) AS rank, source, doc_id FROM f""",
     "candidate_union": f"WITH {bm25_sql([Q1, Q2])} SELECT doc_id, min(qid * 1000000 + r)::BIGINT AS place FROM placed WHERE r <= 50 GROUP BY doc_id",
     "diagnostic_ranking": """WITH s AS (SELECT e.vec_id, e.label, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
-), t AS (SELECT * FROM s ORDER BY round(score, 9) DESC, vec_id LIMIT 200), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) = 1)
+), t AS (SELECT * FROM s ORDER BY round(score, 9) DESC, vec_id LIMIT 2000), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) = 1)
 SELECT row_number() OVER (ORDER BY round(score, 9) DESC, vec_id) AS rank, label, vec_id, round(score, 6) AS score FROM b ORDER BY rank LIMIT 50""",
     "judgement_union": "SELECT conv_id, coalesce(array_to_string(list_sort(list_distinct(list(turn) FILTER (WHERE turn % 2 = 0 OR turn >= 3))), ','), '') AS judged FROM conversations GROUP BY conv_id",
     "body_hashes": "SELECT doc_id, sha1(text)[1:16] AS body_hash, sha1(source || chr(0) || lang)[1:12] AS meta_hash, sha1(source)[1:6] AS session FROM documents",
-    "block_headings": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:3]) AS line, unnest(range(least(3, len(string_split(text, chr(10)))))) AS k FROM documents)
+    "block_headings": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents)
 SELECT doc_id, k, md5(CASE WHEN regexp_matches(line, '^[\\s\\-–—|]*\\d+[\\s\\-–—|]*$') THEN '' WHEN length(line) < 20 THEN '## ' || line WHEN length(line) < 60 THEN '### ' || line ELSE line END) AS md_md5 FROM l""",
     "eval_grid": _grid(),
 }

@@ -79,7 +79,7 @@ def normalize_text(spark, sf_dir):
 
 
 def digit_signature(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.digit_signature(F.substring_index("text", "\n", 1)).alias("value"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.digit_signature(F.col("text"))).alias("value"))
 
 
 def domain_categories(spark, sf_dir):
@@ -177,7 +177,7 @@ ORACLES = {
 SELECT doc_id, array_to_string(list_concat([category], list_filter(coalesce(c, []), lambda x: x <> category))[1:3], ', ') AS subjects FROM cl LEFT JOIN fl USING (doc_id)""",
     "slug": f"""SELECT doc_id, coalesce(nullif(regexp_replace(trim(regexp_replace({FOLD.format("split_part(text, '.', 1)")}, '[^a-z0-9]+', '-', 'g'), '-')[1:60], '-+$', ''), ''), 'sem-titulo') AS value FROM documents""",
     "normalize_text": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(text, '’', ''''), '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '[ \t ]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS value FROM documents""",
-    "digit_signature": r"SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\d+', '#', 'g')) AS value FROM documents",
+    "digit_signature": r"SELECT doc_id, md5(regexp_replace(regexp_replace(lower(text), '\d+', '#', 'g'), '^\s+|\s+$', '', 'g')) AS value FROM documents",
     "domain_categories": """WITH b(domain, category) AS (VALUES ('one', 'src0'), ('one', 'src3'), ('one', 'src6'), ('one', 'src9'), ('two', 'src1'), ('two', 'src4'), ('two', 'src7'), ('three', 'src2'), ('three', 'src8'))
 SELECT * FROM b UNION ALL SELECT d.domain, u.category FROM (SELECT DISTINCT domain FROM b) d, (SELECT DISTINCT source AS category FROM documents WHERE source NOT IN (SELECT category FROM b)) u""",
     "catalog_summary": "SELECT lang, source, count(*) AS docs, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((), (lang), (source))",
