@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumic.functions.vectors import MASKED
 from vellumic.operators.ranking import best_per_group, ranked
 
 #: A factory, called once in each worker; what it makes maps texts to unit vectors.
@@ -70,6 +71,18 @@ def reranked(candidates: DataFrame, question: str, text: str, score: str, key: s
 
     Only ``pool`` rows reach the model, and empty texts none of it.
     """
+    top = ranked(candidates.where(F.length(F.trim(text)) > 0), score, [key], most=pool, name="place").drop("place")
+    again = top.withColumn("rescored", _rescore(question, reranker)(F.col(text)))
+    return ranked(best_per_group(again, [chapter], "rescored", [key]), "rescored", [key], most=most)
+
+
+def rerank_vector(rows: DataFrame, candidates: DataFrame, question: str, text: str, key: str, reranker: Reranker | None = None) -> DataFrame:
+    """``rows`` with ``score``: the reranker's for the candidates, the least for all others."""
+    again = candidates.where(F.length(F.trim(text)) > 0).select(key, _rescore(question, reranker)(F.col(text)).alias("score"))
+    return rows.join(again, key, "left").withColumn("score", F.coalesce("score", F.lit(MASKED)))
+
+
+def _rescore(question: str, reranker: Reranker | None):
     make = reranker or overlap_reranker()
 
     @F.pandas_udf("double")
@@ -79,6 +92,4 @@ def reranked(candidates: DataFrame, question: str, text: str, score: str, key: s
             parts = [model([(question, t) for t in texts.iloc[k : k + RERANK_BATCH]]) for k in range(0, len(texts), RERANK_BATCH)]
             yield pd.Series(np.concatenate(parts) if parts else [])
 
-    top = ranked(candidates.where(F.length(F.trim(text)) > 0), score, [key], most=pool, name="place").drop("place")
-    again = top.withColumn("rescored", rescore(F.col(text)))
-    return ranked(best_per_group(again, [chapter], "rescored", [key]), "rescored", [key], most=most)
+    return rescore

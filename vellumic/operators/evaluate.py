@@ -82,5 +82,5 @@ def sampled_pool(docs: DataFrame, targets: DataFrame, key: str, size: int, seed:
     """All targets and a seeded choice of other documents up to ``size``."""
     wanted = docs.join(targets.select(key).distinct(), key, "left_semi")
     others = docs.join(targets.select(key).distinct(), key, "left_anti")
-    extra = others.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(max(0, size - wanted.count()))
+    extra = others.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed).cast("string"))), key).limit(max(0, size - wanted.count()))
     return wanted.unionByName(extra)

@@ -174,3 +174,27 @@ SELECT source, median(size) AS median FROM (SELECT source, size, unnest(range(w)
     "html_title_headings": """SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
   len(regexp_extract_all(html, '(?i)<h[1-6][\\s>]'))::BIGINT AS n_headings, len(regexp_extract_all(html, '(?i)<a[\\s>]'))::BIGINT AS n_links FROM pages""",
 }
+
+#: Words of each page (a line), and the folds of runs that close before they pass a size.
+_LINE_WORDS = f"lw AS (SELECT doc_id, page, CASE WHEN page % 5 = 3 THEN 3 ELSE 0 END + len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS n FROM lines)"
+ORACLES["size_slices"] = f"""WITH RECURSIVE {_PAGES}, {_LINE_WORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS r FROM lw WHERE n > 0
+), f AS (
+  SELECT doc_id, page, n, r, n AS held, 1 AS k FROM o WHERE r = 1
+  UNION ALL SELECT o.doc_id, o.page, o.n, o.r, CASE WHEN held + o.n > 150 THEN o.n ELSE held + o.n END, k + CASE WHEN held + o.n > 150 THEN 1 ELSE 0 END FROM f JOIN o ON o.doc_id = f.doc_id AND o.r = f.r + 1
+)
+SELECT doc_id, k::BIGINT AS ord, 'Trecho ' || k AS title, min(page) AS page_from, max(page) AS page_to, sum(n)::BIGINT AS n_words FROM f GROUP BY doc_id, k"""
+ORACLES["short_merge"] = f"""WITH RECURSIVE {_PAGES}, {_LINE_WORDS}, g0 AS (SELECT *, sum(CASE WHEN n >= 40 OR page = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page) AS g FROM lw
+), g AS (SELECT *, min(page) OVER (PARTITION BY doc_id, g) AS first_page, max(page) OVER (PARTITION BY doc_id, g) AS last_page FROM g0
+), pieces AS (
+  SELECT doc_id, g, 2 * page AS place, n FROM g WHERE n > 0 UNION ALL SELECT doc_id, g, 2 * page - 1, 3 FROM g WHERE page > first_page
+), total AS (SELECT doc_id, g, any_value(first_page) AS page_from, any_value(last_page) AS page_to, sum(n + CASE WHEN page > first_page THEN 3 ELSE 0 END) AS words FROM g GROUP BY doc_id, g
+), o AS (SELECT p.*, row_number() OVER (PARTITION BY p.doc_id, p.g ORDER BY place) AS r FROM pieces p JOIN total USING (doc_id, g) WHERE words > 400
+), f AS (
+  SELECT doc_id, g, n, r, n AS held, 1 AS k FROM o WHERE r = 1
+  UNION ALL SELECT o.doc_id, o.g, o.n, o.r, CASE WHEN held + o.n > 200 THEN o.n ELSE held + o.n END, k + CASE WHEN held + o.n > 200 THEN 1 ELSE 0 END FROM f JOIN o ON o.doc_id = f.doc_id AND o.g = f.g AND o.r = f.r + 1
+), parts AS (
+  SELECT doc_id, g, k, sum(n) AS n_words, max(k) OVER (PARTITION BY doc_id, g) AS parts FROM f GROUP BY doc_id, g, k
+  UNION ALL SELECT doc_id, g, 1, words, 0 FROM total WHERE words <= 400
+)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, k) AS ord, 'Part ' || page_from || CASE WHEN parts > 0 THEN ' (parte ' || k || '/' || parts || ')' ELSE '' END AS title, page_from, page_to, n_words::BIGINT AS n_words
+FROM parts JOIN total USING (doc_id, g)"""
