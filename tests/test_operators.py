@@ -20,6 +20,8 @@ from vellumic.operators import passages as P
 from vellumic.operators import slicing as S
 from vellumic.operators.components import components
 from vellumic.plans import graph as graph_plans
+from vellumic.operators import contains as N
+from vellumic.operators.skew import join_counted
 from vellumic.scratch import Scratch
 
 
@@ -332,3 +334,24 @@ def test_fold_is_what_labels_use(spark):
     df = spark.createDataFrame([("Ação, reação e um x",)], "t string")
     assert df.select(T.tokens(F.col("t"))).first()[0] == ["acao", "reacao"]
     assert df.select(B.label_terms(F.col("t"))).first()[0] == ["acao", "reacao", "acao reacao"]
+
+
+def test_containing(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "abc abcd"), (2, ""), (3, None), (4, "xbcdx")], "id long, body string")
+    marks = spark.createDataFrame([("p", "bc"), ("q", "bcd"), ("r", ""), ("s", None), ("t", "bc"), ("u", "zz")], "m string, mark string")
+    want = sorted((i, m) for i, b in [(1, "abc abcd"), (2, ""), (4, "xbcdx")] for m, k in [("p", "bc"), ("q", "bcd"), ("r", ""), ("t", "bc"), ("u", "zz")] if k in b)
+    got = lambda: sorted((r.id, r.m) for r in N.containing(texts, "body", marks, "mark").collect())
+    assert got() == want
+    monkeypatch.setattr(N, "BLOCK", 2)
+    assert got() == want
+    assert N.containing(texts, "body", marks.limit(0), "mark").count() == 0
+
+
+def test_keys_of_many_rows(spark):
+    rows = spark.createDataFrame([(k % 7 if k < 3000 else 8, k) for k in range(4000)] + [(None, -1)], "key long, v long")
+    sizes = rows.where("key IS NOT NULL AND key <> 3").groupBy("key").count().withColumn("w", F.col("key") * 2)
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(sizes, "key", how).select("key", "v", "count", "w").collect()))
+        for total in (4000, 40_000_000):
+            got = join_counted(rows, sizes, "key", "count", total, how).select("key", "v", "count", "w")
+            assert sorted(map(str, got.collect())) == want

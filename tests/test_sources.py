@@ -153,13 +153,13 @@ def test_streams_match_batches(spark, sf_dir, tmp_path):
 
 
 def test_index_upkeep(spark, tmp_path):
-    schema = "chapter string, body string, useful boolean"
+    schema = "chapter string, body string, useful boolean, changed long"
     source, index, checkpoint = (str(tmp_path / x) for x in ("in", "index", "cp"))
     stream = None
-    for rows in ([("a", "w " * 120, True), ("b", "v " * 10, True)], [("a", "new " * 30, True), ("b", "v", False)]):
+    for rows in ([("a", "w " * 120, True, 1), ("b", "v " * 10, True, 1)], [("a", "new " * 30, True, 3), ("a", "other " * 20, True, 2), ("b", "v", False, 2)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        query = U.index_writer(stream, index, checkpoint).trigger(availableNow=True).start()
+        query = U.index_writer(stream, index, checkpoint, "changed").trigger(availableNow=True).start()
         query.awaitTermination()
     rows = U.current_index(spark, index).collect()
     assert [(r.chapter, r.n) for r in rows] == [("a", 30)]

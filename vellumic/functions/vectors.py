@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Score of a row that a mask rules out.
 MASKED = -1e9
@@ -35,6 +35,19 @@ def dot_with(vector: Sequence[float]):
     return dot
 
 
+def dots_with(vectors: Sequence[Sequence[float]]):
+    """Function of a vector column: its dot products with each of some given vectors; null if lengths differ."""
+    queries = np.asarray(vectors, np.float64).reshape(len(vectors), -1)
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def dots(column: pa.Array) -> pa.Array:
+        rows, good = _matrix(column, queries.shape[1])
+        offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(queries))
+        return pa.ListArray.from_arrays(offsets, pa.array((rows @ queries.T).ravel()), mask=pa.array(~good))
+
+    return dots
+
+
 @F.arrow_udf(DoubleType())
 def dot(a: pa.Array, b: pa.Array) -> pa.Array:
     """Dot product of two vector columns; null where either is null or lengths differ."""

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumic.functions import vectors as V
-from vellumic.operators.ranking import best_per_group, ranked
+from vellumic.operators.ranking import PLACES, best_per_group, ranked
 
 # Fixed values of the votes, priors and feedback.
 VOTE_K, VOTE_TOP, PREDICTED = 10, 200, 3
@@ -63,11 +63,17 @@ def centroids(passages: DataFrame, category: str, document: str, vector: str = "
 def predict(centroid_dims: DataFrame, queries: DataFrame, category: str, key: str, most: int = PREDICTED, vector: str = "embedding") -> DataFrame:
     """(key, category, score, rank): the categories whose centroids are nearest to each query.
 
-    Joined by dimension, with the products summed before the shuffle.
+    The centroids, a row for each category, are one matrix that every batch of queries is
+    multiplied with, so no query leaves its place.
     """
-    products = V.dims(queries, vector, key).join(F.broadcast(centroid_dims.select(category, "dim", F.col("value").alias("c"))), "dim")
-    scores = products.groupBy(key, category).agg(F.sum(F.col("value") * F.col("c")).alias("score"))
-    return ranked(scores, "score", [category], by=[key], most=most)
+    rows = V.gathered(centroid_dims.select(category, "dim", "value"), category).orderBy(category).collect()
+    if not rows:
+        return queries.limit(0).select(key, F.lit(None).cast(centroid_dims.schema[category].dataType).alias(category), F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("rank"))
+    names = F.array(*(F.lit(r[0]) for r in rows))
+    scores = queries.select(key, V.dots_with([r["vector"] for r in rows])(F.col(vector)).alias("s")).where("s IS NOT NULL")
+    order = F.array_sort(F.transform("s", lambda x, i: F.struct((-F.round(x, PLACES)).alias("m"), i.alias("i"), x.alias("score"))))
+    best = scores.select(key, F.posexplode(F.slice(order, 1, most)).alias("place", "b"))
+    return best.select(key, F.element_at(names, F.col("b.i") + 1).alias(category), F.col("b.score").alias("score"), (F.col("place") + 1).cast("long").alias("rank"))
 
 
 def vote(top: DataFrame, category: str, most: int = PREDICTED, k: int = VOTE_K) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumic.operators.contains import containing
+
 
 def matches(marks: Column, folder: Column) -> Column:
     """Whether any mark occurs in a folder's name."""
@@ -67,10 +69,10 @@ def lint(questions: DataFrame, marks: DataFrame, folders: DataFrame) -> DataFram
     """(kind, n): repeated questions, marks without or with several folders, folders without marks.
 
     ``questions`` has (qid, q), ``marks`` (qid, mark), ``folders`` (folder). Marks are a stated
-    set and are broadcast.
+    set, which one pass over the folders looks for.
     """
     repeated = questions.groupBy("q").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("repeated").alias("kind"), "n")
-    pairs = folders.join(F.broadcast(marks.select("mark").distinct()), F.contains("folder", F.col("mark")))
+    pairs = containing(folders, "folder", marks.select("mark").distinct(), "mark")
     counts = marks.join(pairs.groupBy("mark").agg(F.count("*").alias("c")), "mark", "left").select(F.coalesce("c", F.lit(0)).alias("c"))
     orphan = counts.where("c = 0").agg(F.count("*").alias("n")).select(F.lit("orphan").alias("kind"), "n")
     ambiguous = counts.where("c > 1").agg(F.count("*").alias("n")).select(F.lit("ambiguous").alias("kind"), "n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumic.functions import vectors as V
+from vellumic.operators.contains import containing
 
 # Lengths of digests, sessions kept, similarity and weight of trails.
 BODY_HASH, META_HASH, SESSION_ID = 16, 12, 6
@@ -112,10 +113,10 @@ def seeded_trails(questions: DataFrame, folders: DataFrame, existing: DataFrame)
     """(question, chapter): each question's targets by their longest chapter, unless already there.
 
     ``questions`` has (question, mark), ``folders`` (folder, chapter, n_words). Questions are a
-    stated set, so they are broadcast against all folders.
+    stated set, whose marks one pass over the folders looks for.
     """
     longest = folders.groupBy("folder").agg(F.max_by("chapter", F.struct("n_words", "chapter")).alias("chapter"))
-    hits = longest.join(F.broadcast(questions), F.contains("folder", F.col("mark"))).select("question", "chapter").distinct()
+    hits = containing(longest, "folder", questions, "mark").select("question", "chapter").distinct()
     return hits.join(existing, ["question", "chapter"], "left_anti")
 
 

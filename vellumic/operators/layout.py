@@ -47,7 +47,7 @@ def heading_candidates(blocks: DataFrame, bodies: DataFrame, key: str, page: str
     """(key, page, size, title): the largest short block among a page's first three."""
     place = F.row_number().over(W.partitionBy(key, page).orderBy(block))
     short = T.trimmed(F.col("text"))
-    rows = blocks.withColumn("__k", place).where(F.col("__k") <= FIRST_BLOCKS).join(F.broadcast(bodies), key)
+    rows = blocks.withColumn("__k", place).where(F.col("__k") <= FIRST_BLOCKS).join(bodies, key)
     rows = rows.where((F.col("n_lines") <= 3) & F.length(short).between(3, 90) & (F.col("size") >= CANDIDATE_RATIO * F.col("body")))
     best = rows.groupBy(key, page).agg(F.min_by(F.struct("size", "text"), F.struct(-F.col("size"), "__k")).alias("b"))
     return best.select(key, page, (F.round(F.col("b.size") * 2) / 2).alias("size"), T.clean_heading(F.col("b.text")).alias("title"))

@@ -14,6 +14,7 @@ from vellumic.operators import layout as Y
 from vellumic.operators import lexical as L
 from vellumic.operators import passages as P
 from vellumic.operators import quality as Q
+from vellumic.operators.contains import containing
 from vellumic.operators.ranking import best_per_group, first_per_group, ranked
 from vellumic.plans.common import Q1, Q2, bm25_sql, indexed_bm25, questions_bm25, table, tokens_sql
 from vellumic.sources import chapters as S
@@ -130,7 +131,7 @@ def eval_grid(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     questions = items.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("q"), "text")
     docs = _docs(spark, sf_dir)
-    targets = docs.select("doc_id", "source", F.col("text").alias("body")).join(F.broadcast(questions), F.contains("body", F.col("text"))).select("qid", "doc_id", "source")
+    targets = containing(docs.select("doc_id", "source", F.col("text").alias("body")), "body", questions, "text").select("qid", "doc_id", "source")
     scored = indexed_bm25(spark, sf_dir, questions)
     number = F.substring("source", 4, 9).cast("int")
     domain = targets.select("qid", (number % 3).alias("cut")).distinct()

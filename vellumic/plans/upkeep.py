@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellumic.operators import evaluate as E
 from vellumic.operators import incremental as I
+from vellumic.operators.contains import containing
 from vellumic.operators.ranking import ranked
 from vellumic.plans.common import indexed_bm25, lex_sql, table
 from vellumic.streaming import events as V
@@ -67,7 +68,7 @@ def _evaluation(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     questions = items.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("q"), "text")
     docs = _docs(spark, sf_dir)
-    targets = docs.select("doc_id", "source", F.col("text").alias("body")).join(F.broadcast(questions), F.contains("body", F.col("text"))).select("qid", "doc_id", "source")
+    targets = containing(docs.select("doc_id", "source", F.col("text").alias("body")), "body", questions, "text").select("qid", "doc_id", "source")
     rankings = ranked(indexed_bm25(spark, sf_dir, questions), "score", ["doc_id"], by=["qid"], most=50)
     return questions, targets, rankings
 
