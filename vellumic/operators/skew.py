@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most keys that are joined by broadcast, and rows that a key has at least to be one of them.
-HOT_KEYS, HOT_ROWS = 50_000, 512
+HOT_KEYS, HOT_ROWS = 50_000, 128
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
