@@ -7,12 +7,11 @@ three at 80), and for each set a node has a child for each combination of their
 Nodes of up to ``SMALL`` members are compared exhaustively, first on sketches, then on full
 shingle sets.
 
-In a larger node one member, its hub, is compared with all others, on sketches and then on
-full sets, so that a group of near copies becomes one component at once. Of the rest only
-pairs of different components are left: if few members are of another component than the
-hub's, they are compared with all members, otherwise the node branches. Behind the last of
-``LEVELS`` levels new hubs are compared, and then all members of other components with all
-members, in blocks that are dealt out over tasks, so nothing is capped.
+Larger nodes branch, for up to ``LEVELS`` levels. In what is then still large, a group of
+near copies or what shares many tokens with one, a member, the node's hub, is compared with
+all others, so near copies of it become one component at once. Members that are not linked
+with the hub are then compared with all members, in blocks that are dealt out over tasks, so
+nothing is capped and only the product of the two numbers counts.
 
 Method: T. Christiani, R. Pagh, J. Sivertsen, "Scalable and Robust Set Similarity Join", 2018.
 Recall: a pair at the threshold of 85 percent meets in a small node of a given tree with
@@ -96,133 +95,107 @@ def least_agreement(percent: int) -> int:
 
 
 class Search:
-    """The candidates of a set of representatives, and what is known of their links."""
+    """The candidates of a set of representatives, and the links that full sets confirm."""
 
     def __init__(self, reps: DataFrame, texts: DataFrame, scratch: Scratch, width: int, percent: int):
-        self.sketches = reps.select("id", "sketch")
-        self.keys = reps.select("id", "keys")
-        self.texts, self.scratch, self.width, self.percent = texts, scratch, width, percent
+        self.reps, self.texts, self.scratch, self.width, self.percent = reps, texts, scratch, width, percent
         self.edges: list[DataFrame] = []
-        self.roots: DataFrame | None = None
 
     def links(self) -> DataFrame:
         """(a, b): links that join all that may be linked."""
-        level = self.keys.select("id", F.posexplode("keys").alias("tree", "key")).select("id", F.xxhash64("tree", "key").alias("node"))
-        level = self.scratch.keep(_counted(level, self.scratch))
-        units = [self._small(level)]
-        large = self._hubs(level.where(F.col("c") > SMALL), 1)
-        for depth in range(2, LEVELS + 1):
-            if large is None:
-                break
-            units.append(self._against_others(large.where(F.col("others") <= SMALL)))
-            large = large.where(F.col("others") > SMALL)
-            if large.isEmpty():
-                large = None
-                break
-            level = self.scratch.keep(_counted(self._children(large.join(self.sketches, "id"), depth), self.scratch))
-            units.append(self._small(level))
-            large = self._hubs(level.where(F.col("c") > SMALL), depth) if depth == LEVELS else self._labelled(level.where(F.col("c") > SMALL), depth)
-        if large is not None:
-            units.append(self._against_others(large))
-        together = units[0]
-        for unit in units[1:]:
-            together = together.unionByName(unit)
-        together = together.join(self.sketches, "id")
-        clusters = together.repartition("unit").sortWithinPartitions("unit").mapInArrow(_sketch_clusters(self.percent), "cluster long, id long")
-        self._verify(clusters.distinct())
+        clusters = _together(self.units()).repartition("unit").sortWithinPartitions("unit").mapInArrow(_sketch_clusters(self.percent), "cluster long, id long")
+        self._verify(clusters.distinct().withColumn("hub", F.lit(False)))
         out = self.edges[0]
         for edges in self.edges[1:]:
             out = out.unionByName(edges)
         return out
 
-    def _children(self, large: DataFrame, depth: int) -> DataFrame:
-        """(id, node) of the next level."""
-        three = F.pmod(F.xxhash64("node", F.lit(f"three{depth}")), F.lit(100)) < THREE_SETS
-        sets = F.when(three, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
-        child = large.select("id", "sketch", "node", F.explode(sets).alias("s"))
-        places = [F.pmod(F.xxhash64("node", "s", F.lit(k), F.lit(depth)), F.lit(SKETCH)).cast("int") for k in range(tokens_of_step(self.percent))]
-        values = [F.substring("sketch", 2 * place + 1, F.lit(2)) for place in places]
-        return child.select("id", F.xxhash64("node", "s", *values).alias("node"))
-
-    def _small(self, level: DataFrame) -> DataFrame:
-        return level.where(F.col("c") <= SMALL).select(F.col("node").alias("unit"), "id", F.col("id").alias("label"))
-
-    def _hubs(self, large: DataFrame, depth: int) -> DataFrame | None:
-        """``large`` as :meth:`_labelled`, after its hubs were compared with all members; None if it is empty."""
-        if large.isEmpty():
-            return None
-        hubs = self._hub_of(large, depth)
-        sketched = hubs.join(self.sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
-        pairs = join_counted(large.select("id", "node"), sketched, "node", "c", large.count()).join(self.sketches, "id")
-        pairs = self.scratch.keep(pairs.select("hub", "id", "hub_sketch", "sketch").mapInArrow(_near_hub(self.percent), "hub long, id long").distinct())
-        if not pairs.isEmpty():
-            # Members of about SMALL go to one cluster, and the hub to each cluster of its members.
-            sizes = pairs.groupBy("hub").agg(F.count("*").alias("n"))
-            parts = join_counted(pairs, sizes, "hub", "n", pairs.count())
-            parts = parts.select("hub", "id", F.pmod(F.xxhash64("id", F.lit("part")), F.ceil(F.col("n") / SMALL)).alias("part"))
-            parts = parts.select(F.xxhash64("hub", "part").alias("cluster"), "hub", "id")
-            clusters = parts.select("cluster", "id").unionByName(parts.select("cluster", F.col("hub").alias("id")).distinct())
-            self._verify(clusters)
-            links = self.edges[0]
-            for edges in self.edges[1:]:
-                links = links.unionByName(edges)
-            self.roots = self.scratch.keep(components(links, self.scratch))
-        return self._labelled(large, depth)
-
-    @staticmethod
-    def _hub_of(large: DataFrame, depth: int) -> DataFrame:
-        """(node, hub, c): the member of each node that comes first in an order which all nodes share."""
-        first = F.min(F.struct(F.xxhash64("id", F.lit(f"hub{depth}")).alias("h"), "id"))
-        return large.groupBy("node").agg(first.alias("f"), F.first("c").alias("c")).select("node", F.col("f.id").alias("hub"), "c")
-
-    def _labelled(self, large: DataFrame, depth: int) -> DataFrame | None:
-        """``large`` with each member's component ``label``, whether it is an ``other`` than the hub's, and their number ``others``."""
-        if large.isEmpty():
-            return None
-        large, hubs = self.scratch.keep(large.select("id", "node", "c")), self._hub_of(large, depth)
-        total = large.count()
-        if self.roots is None:
-            large = large.select("*", F.col("id").alias("label"))
-            hubs = hubs.select("node", F.col("hub").alias("hub_label"), "c")
-        else:
-            root = self.roots.withColumnRenamed("node", "id")
-            large = large.join(root, "id", "left").select("id", "node", "c", F.coalesce("root", "id").alias("label"))
-            hubs = hubs.join(root.withColumnRenamed("id", "hub"), "hub", "left").select("node", F.coalesce("root", "hub").alias("hub_label"), "c")
-        large = join_counted(large.drop("c"), hubs, "node", "c", total)
-        large = self.scratch.keep(large.select("id", "node", "c", "label", (F.col("label") != F.col("hub_label")).alias("other")))
-        others = large.groupBy("node").agg(F.count_if("other").alias("others"), F.first("c").alias("c"))
-        return self.scratch.keep(join_counted(large.drop("c"), others, "node", "c", total))
+    def units(self) -> list[DataFrame]:
+        """Tables of (unit, id, label, sketch): what has to be compared within each unit of bounded size."""
+        level = self.reps.select("id", F.posexplode("keys").alias("tree", "key")).select("id", F.xxhash64("tree", "key").alias("node"))
+        level = self.scratch.keep(_counted(level, self.scratch).select("id", "node", "c"))
+        sketches = self.reps.select("id", "sketch")
+        done = [_small(level).join(sketches, "id")]
+        large = level.where(F.col("c") > SMALL).join(sketches, "id")
+        for depth in range(2, LEVELS + 1):
+            if large.isEmpty():
+                return done
+            three = F.pmod(F.xxhash64("node", F.lit(f"three{depth}")), F.lit(100)) < THREE_SETS
+            sets = F.when(three, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
+            child = large.select("id", "sketch", "node", F.explode(sets).alias("s"))
+            places = [F.pmod(F.xxhash64("node", "s", F.lit(k), F.lit(depth)), F.lit(SKETCH)).cast("int") for k in range(tokens_of_step(self.percent))]
+            values = [F.substring("sketch", 2 * place + 1, F.lit(2)) for place in places]
+            child = child.select("id", "sketch", F.xxhash64("node", "s", *values).alias("node"))
+            level = self.scratch.keep(_counted(child, self.scratch))
+            done.append(_small(level))
+            large = level.where(F.col("c") > SMALL)
+        return done if large.isEmpty() else [*done, self._against_others(self._hubs(large))]
+
+    def _hubs(self, large: DataFrame) -> DataFrame:
+        """(id, node, c, label, sketch, other, others): members that are not linked with their node's hub, and their number.
+
+        Hubs come first in an order that all nodes share, so a group has few of them.
+        """
+        first = F.min(F.struct(F.xxhash64("id", F.lit("hub")).alias("h"), "id", "sketch"))
+        hubs = large.groupBy("node").agg(first.alias("f"), F.first("c").alias("c")).select("node", F.col("f.id").alias("hub"), F.col("f.sketch").alias("hub_sketch"), "c")
+        members = join_counted(large.select("id", "node", "sketch"), hubs, "node", "c", large.count())
+        members = self.scratch.keep(members.mapInArrow(_near_hub(self.percent), "id long, node long, c long, sketch binary, hub long, near boolean"))
+        pairs = self.scratch.keep(members.where("near").select("hub", "id").distinct())
+        # Members of about SMALL go to one cluster, and the hub to each cluster of its members.
+        sizes = pairs.groupBy("hub").agg(F.count("*").alias("n"))
+        parts = join_counted(pairs, sizes, "hub", "n", pairs.count())
+        parts = parts.select("hub", "id", F.pmod(F.xxhash64("id", F.lit("part")), F.ceil(F.col("n") / SMALL)).alias("part"))
+        parts = parts.select(F.xxhash64("hub", "part").alias("cluster"), "hub", "id")
+        self._verify(parts.select("cluster", "id", F.lit(False).alias("hub")).unionByName(parts.select("cluster", F.col("hub").alias("id"), F.lit(True).alias("hub")).distinct()))
+        linked = self.edges[-1].select(F.col("a").alias("hub"), F.col("b").alias("id"), F.lit(True).alias("linked")).distinct()
+        other = (F.col("id") != F.col("hub")) & F.col("linked").isNull()
+        members = members.join(linked, ["hub", "id"], "left").select("id", "node", "c", "sketch", other.alias("other"), F.when(other, F.col("id")).otherwise(F.col("hub")).alias("label"))
+        members = self.scratch.keep(members)
+        others = members.where("other").groupBy("node").agg(F.count("*").alias("others"), F.first("c").alias("c"))
+        return join_counted(members.drop("c"), others, "node", "c", members.count())
 
     @staticmethod
     def _against_others(large: DataFrame) -> DataFrame:
         """Units of about ``SMALL`` other members and ``SMALL`` members: all others meet all members."""
         blocks = lambda size: F.ceil(F.col(size) / SMALL).cast("int")
         block_of = lambda size, name: F.pmod(F.xxhash64("id", F.lit(name)), blocks(size)).cast("int")
-        range_of = lambda size: F.explode(F.sequence(F.lit(0), blocks(size) - 1))
-        large = large.where("others > 0")
-        members = large.select("node", "id", "label", range_of("others").alias("i"), block_of("c", "all").alias("j"))
-        others = large.where("other").select("node", "id", "label", block_of("others", "other").alias("i"), range_of("c").alias("j"))
-        return members.unionByName(others).select(F.xxhash64("node", "i", "j").alias("unit"), "id", "label")
+        range_of = lambda size: F.sequence(F.lit(0), blocks(size) - 1)
+        place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+        as_member = F.transform(range_of("others"), lambda i: place(i, block_of("c", "all")))
+        as_other = F.when(F.col("other"), F.transform(range_of("c"), lambda j: place(block_of("others", "other"), j))).otherwise(F.slice(as_member, 1, 0))
+        units = large.select("node", "id", "label", "sketch", F.explode(F.concat(as_member, as_other)).alias("p"))
+        return units.select(F.xxhash64("node", "p.i", "p.j").alias("unit"), "id", "label", "sketch")
 
     def _verify(self, clusters: DataFrame) -> None:
-        """Keep the links among the members of each cluster, as full sets have them."""
+        """Keep the links among the members of each cluster, as full sets have them; a hub is its component's centre."""
         clusters = self.scratch.keep(clusters)
-        texts = _maybe_among(self.texts, clusters, self.scratch).join(clusters, "id").select("cluster", "id", "text")
+        texts = _maybe_among(self.texts, clusters, self.scratch).join(clusters, "id").select("cluster", "id", "text", "hub")
         edges = texts.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_exact_links(self.width, self.percent), "a long, b long")
         self.edges.append(self.scratch.keep(edges))
 
 
+def _small(level: DataFrame) -> DataFrame:
+    return level.where(F.col("c") <= SMALL).withColumnRenamed("node", "unit").withColumn("label", F.col("id")).drop("c")
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0].select("unit", "id", "label", "sketch")
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*out.columns))
+    return out
+
+
 def _near_hub(percent: int):
     least = least_agreement(percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(hub, id) of (hub, id, hub_sketch, sketch) that may be linked."""
+        """(id, node, c, sketch, hub, near): whether a member may be linked with its node's hub."""
         for batch in batches:
             if batch.num_rows:
-                hubs, sketches = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SKETCH) for k in (2, 3))
-                near = pa.array((hubs == sketches).sum(axis=1) >= least)
-                pairs = batch.select(["hub", "id"]).filter(near)
-                yield pairs.filter(pc.not_equal(pairs.column(0), pairs.column(1)))
+                own, hubs = (np.frombuffer(b"".join(batch[name].to_pylist()), np.uint16).reshape(-1, SKETCH) for name in ("sketch", "hub_sketch"))
+                near = pa.array((own == hubs).sum(axis=1) >= least)
+                near = pc.and_(near, pc.not_equal(batch["id"], batch["hub"]))
+                yield pa.record_batch([batch["id"], batch["node"], batch["c"], batch["sketch"], batch["hub"], near], ["id", "node", "c", "sketch", "hub", "near"])
 
     return run
 
@@ -307,7 +280,7 @@ def _exact_links(width: int, percent: int):
                 for k in range(0, batch.num_rows, 64):
                     part = batch.slice(k, 64)
                     sets = [shingle_set(x, width).tobytes() for x in part.column(2).to_pylist()]
-                    yield pa.record_batch([part.column(0), part.column(1), pa.array(sets, pa.large_binary())], ["cluster", "id", "set"])
+                    yield pa.record_batch([part.column(0), part.column(1), pa.array(sets, pa.large_binary()), part.column(3)], ["cluster", "id", "set", "hub"])
 
         for cluster in groups(lean(), "cluster"):
             ids = cluster["id"].to_numpy()
@@ -315,6 +288,8 @@ def _exact_links(width: int, percent: int):
             a, b = linked(sets, percent)
             if len(a):
                 label = _labels(len(ids), a, b)
+                for hub in np.flatnonzero(cluster["hub"].to_numpy(zero_copy_only=False)):
+                    label[label == label[hub]] = hub
                 on = np.flatnonzero(label != np.arange(len(ids)))
                 yield pa.record_batch([ids[label[on]], ids[on]], ["a", "b"])
 
