@@ -93,3 +93,18 @@ def _rescore(question: str, reranker: Reranker | None):
             yield pd.Series(np.concatenate(parts) if parts else [])
 
     return rescore
+
+
+def pair_scores(reranker: Reranker | None = None):
+    """Function of (question, passage) columns: the reranker's score of each pair."""
+    make = reranker or overlap_reranker()
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = make()
+        for questions, texts in batches:
+            pairs = list(zip(questions, texts))
+            parts = [model(pairs[k : k + RERANK_BATCH]) for k in range(0, len(pairs), RERANK_BATCH)]
+            yield pd.Series(np.concatenate(parts) if parts else [])
+
+    return score

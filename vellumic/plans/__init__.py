@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lexical", "dense", "quality", "passages", "graph", "upkeep", "more", "rules")
+MODULES = ("lexical", "dense", "quality", "passages", "graph", "upkeep", "more", "rules", "modes")
 
 
 def queries() -> dict:
