@@ -76,8 +76,32 @@ def test_curation(library):
     before = sorted(map(str, lib.manifest().collect()))
     assert lib.move(["outro"], "vendas", dry=True).where("category = 'vendas'").count() == 2
     assert sorted(map(str, lib.manifest().collect())) == before
-    lib.move(["outro"], "vendas")
-    lib.remove(["spin-selling"])
+    lib.move(["outro"], "vendas", reindex=False)
+    lib.remove(["spin-selling"], reindex=False)
     assert {r.action: r.n for r in lib.index().collect()}.get("refresh") == 1
     assert {r.category for r in lib.chapters().where("folder = 'outro'").collect()} == {"vendas"}
     assert lib.ingest(inbox).where("status = 'ok'").count() == 0 and lib.chapters().where("folder = 'spin-selling'").count() == 0
+
+
+def test_sessions(library):
+    lib, _ = library
+    assert lib.session("preco?") is None
+    lib.save_session("preco?", [1.0, 0.0], ["p1"], ["p9"], ["d1"])
+    lib.save_session("rust?", [0.0, 1.0])
+    lib.save_session("preco?", [0.5, 0.5], ["p2", "p1"], [], ["d2"])
+    row = lib.session("preco?")
+    assert (row.query, row.relevant, row.others, row.shown) == ([0.5, 0.5], ["p1", "p2"], ["p9"], ["d1", "d2"])
+    assert lib.sessions().count() == 2
+
+
+def test_rules_anew(library, monkeypatch):
+    lib, _ = library
+    assert lib.revise(dry=True).count() == 0
+    before = {r.chapter_id: r.useful for r in lib.chapters(useful_only=False).collect()}
+    lib.revise(reindex=False)
+    assert {r.chapter_id: r.useful for r in lib.chapters(useful_only=False).collect()} == before
+    sections = {r.section for r in lib.graph_report().collect()}
+    assert sections & {"communities", "alone"} and sections <= {"communities", "alone", "edges", "bridges"}
+    lib.move(["outro"], "geral")
+    assert {r.action for r in lib.index().collect()} == {"keep"}
+    assert lib.search(["jardim"], 1).first().category == "geral"

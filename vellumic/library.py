@@ -9,21 +9,27 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumic import models
 from vellumic.functions import text as T
-from vellumic.operators import catalog, dense, hybrid, incremental, lexical, quality, slicing
+from vellumic.operators import catalog, dense, hybrid, incremental, lexical, lexindex, quality, slicing
 from vellumic.operators import graph as G
 from vellumic.operators import labels as B
 from vellumic.operators import passages as P
+from vellumic.operators.components import components
 from vellumic.operators.ranking import ranked
 from vellumic.scratch import Scratch
 from vellumic.sources import chapters as CH
 from vellumic.sources import files as FS
 
 MANIFEST = "sha string, path string, title string, author string, folder string, category string, lang string, doc_type string, n_words long, n_pages long, status string, error string, batch long"
+SESSION = "session string, question string, saved timestamp, query array<double>, relevant array<string>, others array<string>, shown array<string>"
+#: Useful and discarded chapters that say a document's language and kind anew, and characters of each.
+REVISED_USEFUL, REVISED_DISCARDED, DISCARDED_CHARS = 6, 2, 6_000
 INDEX = "chapter_id string, body_hash string, meta_hash string, useful boolean, batch long"
 
 
@@ -33,6 +39,7 @@ class Library:
     def __init__(self, spark: SparkSession, root: str, vocabulary: catalog.Vocabulary | None = None, domains: Mapping[str, Sequence[str]] | None = None, embedder: models.Embedder | None = None, reranker: models.Reranker | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.vocabulary, self.domains = dict(vocabulary or {}), dict(domains or {})
+        self._at: str | None = None
         self.embedder, self.reranker = embedder or models.hashing_embedder(), reranker or models.overlap_reranker()
 
     def _version(self, name: str, schema: str) -> DataFrame:
@@ -83,19 +90,73 @@ class Library:
         out = rows.select("chapter_id", "sha", "document", "folder", "category", "lang", "doc_type", F.col("title").alias("chapter"), "ord", F.concat_ws("-", "page_from", "page_to").alias("pages"), "n_words", "useful", "reason", F.col("md").alias("body"))
         return out.where("useful") if useful_only else out
 
-    def move(self, folders: Sequence[str], category: str, dry: bool = False) -> DataFrame:
-        """The manifest with documents in another category; written unless ``dry``."""
-        return self._changed(incremental.recategorized(self.manifest(), list(folders), category), dry)
+    def move(self, folders: Sequence[str], category: str, dry: bool = False, reindex: bool = True) -> DataFrame:
+        """The manifest with documents in another category; written, and indexed, unless ``dry``."""
+        return self._changed(incremental.recategorized(self.manifest(), list(folders), category), dry, reindex)
 
-    def remove(self, folders: Sequence[str], dry: bool = False) -> DataFrame:
+    def remove(self, folders: Sequence[str], dry: bool = False, reindex: bool = True) -> DataFrame:
         """The manifest with tombstones, so that removed contents do not come back."""
-        return self._changed(incremental.removed(self.manifest(), list(folders)), dry)
+        return self._changed(incremental.removed(self.manifest(), list(folders)), dry, reindex)
 
-    def _changed(self, manifest: DataFrame, dry: bool) -> DataFrame:
+    def _changed(self, manifest: DataFrame, dry: bool, reindex: bool) -> DataFrame:
         if not dry:
             CH.write_version(self.spark, manifest, f"{self.root}/manifest")
+            if reindex:
+                self.index()
         return manifest
 
+    def revise(self, dry: bool = False, reindex: bool = True) -> DataFrame:
+        """Apply the rules anew to the chapters at hand, without the files they came from.
+
+        Language and kind of a document come from its first useful chapters, or if it has few
+        of them, from discarded ones too; chapters are graded again. Returns (chapter_id,
+        useful, reason) of what changes; written as a new batch unless ``dry``.
+        """
+        scratch, manifest = Scratch(self.spark, "revise"), self.manifest()
+        known = self.spark.read.parquet(f"{self.root}/chapters").withColumn("batch", F.col("batch").cast("long")).join(manifest.where("status = 'ok'").select("sha", "batch"), ["sha", "batch"])
+        place = F.row_number().over(W.partitionBy("sha", "useful").orderBy("ord"))
+        part = F.when(F.col("useful"), F.substring("md", 1, catalog.FACET_CHAPTER_CHARS)).otherwise(F.substring("md", 1, DISCARDED_CHARS))
+        first = known.withColumn("k", place).where(f"k <= CASE WHEN useful THEN {REVISED_USEFUL} ELSE {REVISED_DISCARDED} END").select("sha", "ord", "useful", part.alias("t"))
+        text = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["t"]), "\n")
+        samples = first.groupBy("sha").agg(text(F.when(F.col("useful"), F.struct("ord", "t"))).alias("useful_text"), text(F.struct("ord", "t")).alias("any_text"))
+        docs = manifest.join(samples, "sha", "left").withColumn("sample", F.coalesce(F.nullif("useful_text", F.lit("")), "any_text", F.lit("")))
+        docs = quality.kind(quality.language(docs.drop("lang", "doc_type"), "sample").withColumn("any_text", F.coalesce("any_text", F.lit(""))), "title", "any_text")
+        kept = known.drop("useful", "reason", "n_words", "batch")
+        graded = scratch.keep(quality.graded(kept, "title", "md"))
+        changed = graded.select("chapter_id", "useful", "reason").join(known.select("chapter_id", F.col("useful").alias("was"), F.col("reason").alias("why")), "chapter_id")
+        changed = scratch.keep(changed.where("useful <> was OR NOT (reason <=> why)").select("chapter_id", "useful", "reason"))
+        if not dry:
+            batch = self._next_batch(manifest)
+            graded.write.mode("overwrite").parquet(f"{self.root}/chapters/batch={batch}")
+            now = F.when(F.col("status") == "ok", F.lit(batch)).otherwise(F.col("batch")).cast("long")
+            CH.write_version(self.spark, docs.withColumnRenamed("lang_detected", "lang").withColumn("batch", now).select(*manifest.columns), f"{self.root}/manifest")
+            if reindex:
+                self.index()
+        return changed
+
+    # Sessions
+    def sessions(self) -> DataFrame:
+        """The latest sessions; none if there are none or they cannot be read."""
+        try:
+            return self._version("sessions", SESSION)
+        except AnalysisException:
+            return self.spark.createDataFrame([], SESSION)
+
+    def save_session(self, question: str, query: Sequence[float], relevant: Sequence[str] = (), others: Sequence[str] = (), shown: Sequence[str] = ()) -> None:
+        """A round of a question's session: judgements and shown documents add to those of earlier rounds."""
+        now = self.spark.createDataFrame([(question, list(map(float, query)), list(relevant), list(others), list(shown))], "question string, query array<double>, r array<string>, o array<string>, s array<string>")
+        now = now.withColumn("session", incremental.session_id(F.col("question"))).withColumn("saved", F.current_timestamp())
+        old, none = self.sessions(), F.array().cast("array<string>")
+        before = old.select("session", "relevant", "others", "shown")
+        merged = lambda a, b: incremental.accumulated(F.coalesce(a, none), b)
+        new = now.join(before, "session", "left").select("session", "question", "saved", "query", merged("relevant", F.col("r")).alias("relevant"), merged("others", F.col("o")).alias("others"), merged("shown", F.col("s")).alias("shown"))
+        every = incremental.latest_sessions(incremental.upserted(old, new, "session"), "saved")
+        CH.write_version(self.spark, every, f"{self.root}/sessions")
+
+    def session(self, question: str):
+        """The row of a question's session, or None."""
+        return self.sessions().where(F.col("session") == incremental.session_id(F.lit(question))).first()
+
     # Index
     def index(self) -> DataFrame:
         """Bring passages and vectors up to date; returns (action, n). Unchanged bodies are not embedded again."""
@@ -110,6 +171,7 @@ class Library:
         new = state.join(actions.where("action <> 'delete'"), "chapter_id").join(stay, "chapter_id", "left")
         new = new.select("chapter_id", "body_hash", "meta_hash", "useful", F.when(F.col("action") == "embed", F.lit(batch)).otherwise(F.col("was")).cast("long").alias("batch"))
         CH.write_version(self.spark, new, f"{self.root}/index")
+        self._refresh_lexical()
         return actions.groupBy("action").agg(F.count("*").alias("n"))
 
     def stale(self) -> DataFrame:
@@ -145,9 +207,16 @@ class Library:
         rows = self.passages()
         return dense.scored(rows if allowed is None else rows.where(F.col("category").isin(allowed)), query)
 
+    def _refresh_lexical(self) -> None:
+        """The lexical index brought up to date with the useful chapters; remembers the state it is at."""
+        lexindex.refresh(self.spark, f"{self.root}/lexical", self.chapters(), "chapter_id", "body", "sha", "category")
+        self._at = CH.last_version(self.spark, f"{self.root}/manifest")
+
     def _lexical(self, questions: Sequence[str]) -> DataFrame:
-        lex = lexical.tokenized(self.chapters(), "chapter_id", "body", "sha", "category")
-        return lexical.bm25(lex, lexical.questions_of(self.spark, questions), "chapter_id", "sha", "category")
+        """BM25 scores from the index, which is brought up to date if the manifest has changed."""
+        if self._at is None or self._at != CH.last_version(self.spark, f"{self.root}/manifest"):
+            self._refresh_lexical()
+        return lexindex.bm25(self.spark, f"{self.root}/lexical", lexical.questions_of(self.spark, questions), "chapter_id", "sha", "category")
 
     def search(self, questions: Sequence[str], most: int = 10, allowed: list[str] | None = None) -> DataFrame:
         """(rank, chapter_id, sha, category, score) by BM25, fused over languages, filtered after the cut."""
@@ -216,13 +285,24 @@ class Library:
 
     def graph(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(edges, concepts, bridges) of all documents, useful chapters or not."""
+        edges, top, bridges, _ = self._graph(G.FLOOR)
+        return edges, top, bridges
+
+    def graph_report(self) -> DataFrame:
+        """(section, place, line): communities, documents alone, strongest edges and bridges."""
+        edges, top, bridges, (docs, pairs, cut, scratch) = self._graph(0.0)
+        found = G.communities(docs, pairs, "sha", cut, components(pairs.select("a", "b"), scratch))
+        cards = self.chapters(useful_only=False).groupBy("sha").agg(F.first("document").alias("title"), F.first("category").alias("category"), F.count("*").alias("n_chapters"))
+        return G.report(cards, "sha", edges, bridges, found, top)
+
+    def _graph(self, least: float):
         scratch, rows = Scratch(self.spark, "graph"), self.chapters(useful_only=False)
         docs = rows.select("sha", "category").distinct()
         n = docs.count()
         weights = scratch.keep(G.tfidf(G.term_frequencies(rows, "sha", "body"), "sha", n))
-        pairs = scratch.keep(G.cosines(weights, "sha"))
-        top = G.concepts(weights, "sha")
-        return G.edges(pairs, G.edge_cut(pairs, n)), top, G.bridges(top, docs, "sha", "category")
+        pairs = scratch.keep(G.cosines(weights, "sha", least))
+        top, cut = G.concepts(weights, "sha"), G.edge_cut(pairs.where(F.col("cosine") >= G.FLOOR), n)
+        return G.edges(pairs, cut), top, G.bridges(top, docs, "sha", "category"), (docs.select("sha"), pairs, cut, scratch)
 
     def predicted(self, question: str) -> DataFrame:
         """(category, score, rank): categories whose passages are nearest, by votes."""

@@ -59,6 +59,17 @@ def noise(rankings: DataFrame, targets: DataFrame, document: str, top: int = 3)
     return shown.groupBy(document).agg(F.count("*").alias("intrusions"))
 
 
+def coverage(rankings: DataFrame, targets: DataFrame, qid: str, document: str, kind: str, top: int = 3) -> DataFrame:
+    """(kind, n): questions with a target among the first ``top``, and intruders there by their kind.
+
+    The row of the questions has the kind ``covered``. An intruder is no target of its question.
+    """
+    shown = rankings.where(F.col("rank") <= top)
+    covered = shown.join(targets, [qid, document], "left_semi").agg(F.countDistinct(qid).alias("n")).select(F.lit("covered").alias("kind"), "n")
+    others = shown.join(targets, [qid, document], "left_anti").groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
+    return covered.unionByName(others)
+
+
 def predictor_accuracy(predictions: DataFrame, truth: DataFrame, qid: str, category: str, ks: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """One row of hits<k>: questions whose category is among the first k predicted."""
     hits = predictions.join(truth, [qid, category]).groupBy(qid).agg(F.min("rank").alias("r"))

@@ -100,6 +100,12 @@ def noise_audit(spark, sf_dir):
     return E.noise(rankings, targets, "doc_id")
 
 
+def coverage_audit(spark, sf_dir):
+    """Questions with a target among the first three, and intruders there by source."""
+    _, targets, rankings = _evaluation(spark, sf_dir)
+    return E.coverage(rankings, targets, "qid", "doc_id", "source")
+
+
 def predictor_accuracy(spark, sf_dir):
     """The sources of a question's first chapters, in order, against those of its targets."""
     _, targets, rankings = _evaluation(spark, sf_dir)
@@ -132,7 +138,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         index_diff, staleness, dedup_exact, manifest_routing, trail_bonus, trail_listing, session_latest, eval_hit_mrr, eval_stratified, failure_families,
-        noise_audit, predictor_accuracy, ground_truth_lint, stream_tumbling, stream_sliding, stream_sessions,
+        noise_audit, coverage_audit, predictor_accuracy, ground_truth_lint, stream_tumbling, stream_sliding, stream_sessions,
     )
 }
 
@@ -178,6 +184,8 @@ FROM x GROUP BY GROUPING SETS ((), (domain), (cohort))""",
   WHEN EXISTS (SELECT 1 FROM tg JOIN rk USING (qid) WHERE rk.rank = 1 AND tg.qid = ps.qid AND tg.source = rk.source) THEN 'distrator-vizinho' ELSE 'distrator-de-outra-categoria' END AS family FROM ps)
 SELECT family, count(*) AS n FROM f GROUP BY family""",
     "noise_audit": f"WITH {_EVAL} SELECT doc_id, count(*) AS intrusions FROM rk WHERE rank <= 3 AND doc_id NOT IN (SELECT doc_id FROM tg) GROUP BY doc_id",
+    "coverage_audit": f"""WITH {_EVAL}, t AS (SELECT qid, doc_id, source, (qid, doc_id) IN (SELECT (qid, doc_id) FROM tg) AS hit FROM rk WHERE rank <= 3)
+SELECT 'covered' AS kind, count(DISTINCT qid) AS n FROM t WHERE hit UNION ALL SELECT source, count(*) FROM t WHERE NOT hit GROUP BY source""",
     "predictor_accuracy": f"""WITH {_EVAL}, f AS (SELECT qid, source, row_number() OVER (PARTITION BY qid ORDER BY min(rank), source) AS r FROM rk GROUP BY qid, source
 ), h AS (SELECT qid, min(r) AS r FROM f JOIN (SELECT DISTINCT qid, source FROM tg) USING (qid, source) WHERE r <= 3 GROUP BY qid)
 SELECT count(*) FILTER (WHERE r <= 1) AS top1, count(*) FILTER (WHERE r <= 2) AS top2, count(*) FILTER (WHERE r <= 3) AS top3 FROM h""",

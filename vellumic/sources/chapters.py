@@ -64,24 +64,31 @@ def write_chapters(chapters: DataFrame, path: str, category: str = "category") -
 
 
 def write_version(spark: SparkSession, table: DataFrame, path: str) -> None:
-    """A new version of a table beside the old ones; a reader sees whole versions only."""
+    """A new version of a table beside the old ones; a reader sees whole versions only.
+
+    A table has one writer at a time. Of two that take the same next number, one finds its
+    folder there and fails without having changed anything.
+    """
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     taken = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if "version=" in s.getPath().getName()] if fs.exists(root) else []
     table.write.mode("errorifexists").parquet(f"{path}/version={max(taken, default=-1) + 1}")
 
 
-def read_version(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last version that was committed as a whole; None if there is none."""
+def last_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the last version that was committed as a whole; None if there is none."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return None
     good = [s.getPath() for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    if not good:
-        return None
-    last = max(good, key=lambda p: int(p.getName().split("=")[1]))
-    return spark.read.parquet(last.toString())
+    return max(good, key=lambda p: int(p.getName().split("=")[1])).toString() if good else None
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version of a table; None if there is none."""
+    last = last_version(spark, path)
+    return None if last is None else spark.read.parquet(last)
 
 
 def document_report(chapters: DataFrame) -> DataFrame:
