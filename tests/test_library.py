@@ -1,8 +1,11 @@
 """A library from files to answers."""
 
+import json
+
 import pytest
 from test_sources import docx, epub
 
+from vellumic.__main__ import main
 from vellumic.library import Library
 
 VOCABULARY = {"vendas": ["preco", "venda", "objecao"], "rust": ["rust", "borrow checker"]}
@@ -105,3 +108,14 @@ def test_rules_anew(library, monkeypatch):
     lib.move(["outro"], "geral")
     assert {r.action for r in lib.index().collect()} == {"keep"}
     assert lib.search(["jardim"], 1).first().category == "geral"
+
+
+def test_command_line(library, capsys):
+    lib, _ = library
+    main([lib.root, "search", "rust borrow", "--everywhere", "--most", "1"])
+    main([lib.root, "status"])
+    main([lib.root, "move", "outro", "--to", "x", "--dry"])
+    found, status, *rows = map(json.loads, capsys.readouterr().out.splitlines())
+    assert found["category"] == "rust" and status["docs"] >= 3 and {"x"} <= {r["category"] for r in rows}
+    with pytest.raises(SystemExit):
+        main([lib.root, "search", "rust"])
