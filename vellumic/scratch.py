@@ -35,18 +35,19 @@ _FOLDERS: set[str] = set()
 
 def release(spark: SparkSession) -> None:
     """Delete all tables that this application keeps; nothing may read them any more."""
-    _delete(spark, f"{shared_dir(spark)}/vellumic-{spark.sparkContext.applicationId}")
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), f"{shared_dir(spark)}/vellumic-{spark.sparkContext.applicationId}")
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(jvm, settings, folder: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(settings).delete(path, True)
 
 
-def _at_exit(spark: SparkSession, folder: str) -> None:
+def _at_exit(jvm, settings, folder: str) -> None:
+    """Also behind a session that was stopped, as long as its Java process is there."""
     try:
-        _delete(spark, folder)
-    except Exception:  # the session's Java process has gone already
+        _delete(jvm, settings, folder)
+    except Exception:  # it has gone
         pass
 
 
@@ -64,7 +65,7 @@ class Scratch:
         folder = f"{shared_dir(spark)}/vellumic-{spark.sparkContext.applicationId}"
         if folder not in _FOLDERS:
             _FOLDERS.add(folder)
-            atexit.register(_at_exit, spark, folder)
+            atexit.register(_at_exit, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
         self.spark = spark
         self.base = f"{folder}/{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -73,7 +74,7 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        _delete(self.spark, self.base)
+        self._drop(self.base)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and return the table as read back."""
@@ -86,4 +87,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that :meth:`keep` wrote and nothing reads any more."""
-        _delete(self.spark, df._scratch_path)
+        self._drop(df._scratch_path)
+
+    def _drop(self, folder: str) -> None:
+        _delete(self.spark._jvm, self.spark._jsc.hadoopConfiguration(), folder)
