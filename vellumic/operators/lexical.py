@@ -73,19 +73,18 @@ def bm25(lex: DataFrame, questions: DataFrame, key: str, *keep: str) -> DataFram
         held = lex
         tf = lex.select(key, *keep, "n", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     tf = tf.groupBy(key, *keep, "n", "term").agg(F.count("*").alias("tf"))
-    return scored(tf, wanted, totals(held), len(terms) <= MOST_TERMS, key, *keep)
+    return scored(tf, wanted, totals(held), wanted.count() <= MOST_TERMS, key, *keep)
 
 
 def scored(tf: DataFrame, wanted: DataFrame, total: DataFrame, few: bool, key: str, *keep: str) -> DataFrame:
     """(qid, key, keep, score, n_terms) from counts (key, keep, n, term, tf) of the ``wanted`` (qid, term, times).
 
-    ``few`` says that the questions' terms were counted; they are then broadcast if the
-    (question, term) rows are as few.
+    ``few`` says that the wanted rows were counted and are no more than ``MOST_TERMS``; they are
+    then broadcast.
     """
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weights = wanted.join(df, "term").crossJoin(F.broadcast(total))
-    small = few and wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    rows = tf.join(F.broadcast(weights) if small else weights, "term")
+    rows = tf.join(F.broadcast(weights) if few else weights, "term")
     part = idf() * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
     scored = rows.groupBy("qid", key, *keep).agg(F.sum(F.col("times") * part).alias("score"), F.count("*").alias("n_terms"))
     return scored.where("score <> 0")

@@ -63,10 +63,9 @@ def compacted(spark: SparkSession, root: str, key: str) -> None:
 
 def _alive(spark: SparkSession, root: str, key: str) -> DataFrame:
     state = CH.read_version(spark, f"{root}/state")
-    batches = [r[0] for r in state.where("NOT dead").select("batch").distinct().collect()]  # one for each refresh
-    rows = spark.read.parquet(f"{root}/postings").where(F.col("batch_no").isin(batches)).drop("batch_no")
-    dead = state.where("dead").select(key, "batch")
-    return rows if dead.isEmpty() else rows.join(dead, [key, "batch"], "left_anti")
+    batches = dict(tuple(r) for r in state.groupBy("dead").agg(F.collect_set("batch")).collect())  # one for each refresh
+    rows = spark.read.parquet(f"{root}/postings").where(F.col("batch_no").isin(batches.get(False, []))).drop("batch_no")
+    return rows.join(state.where("dead").select(key, "batch"), [key, "batch"], "left_anti") if True in batches else rows
 
 
 def totals(spark: SparkSession, root: str) -> DataFrame:
@@ -82,8 +81,12 @@ def term_stats(spark: SparkSession, root: str, key: str) -> DataFrame:
 
 def bm25(spark: SparkSession, root: str, questions: DataFrame, key: str, *keep: str) -> DataFrame:
     """(qid, key, keep, score, n_terms) as :func:`lexical.bm25`, from the postings of the questions' terms alone."""
-    wanted = Scratch(spark, "lexindex").keep(L.query_terms(questions))
-    terms = [r[0] for r in wanted.select("term").distinct().limit(L.MOST_TERMS + 1).collect()]
-    rows = _alive(spark, root, key)
-    asked = rows.where(F.col("term").isin(terms)) if len(terms) <= L.MOST_TERMS else rows.join(wanted.select("term").distinct(), "term", "left_semi")
-    return L.scored(asked.select(key, *keep, "n", "term", "tf"), wanted, totals(spark, root), len(terms) <= L.MOST_TERMS, key, *keep)
+    wanted = L.query_terms(questions)
+    asked = wanted.limit(L.MOST_TERMS + 1).collect()
+    rows, few = _alive(spark, root, key), len(asked) <= L.MOST_TERMS
+    if few:
+        wanted = spark.createDataFrame(asked, wanted.schema)
+        rows = rows.where(F.col("term").isin(sorted({r.term for r in asked})))
+    else:
+        rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
+    return L.scored(rows.select(key, *keep, "n", "term", "tf"), wanted, totals(spark, root), few, key, *keep)
