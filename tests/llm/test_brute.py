@@ -108,6 +108,30 @@ def test_deep_nodes_and_blocks(spark, monkeypatch):
     assert sum(got[i] != want[i] for i in want) <= 3
 
 
+def test_rows_of_nodes(spark, monkeypatch):
+    """A group of near copies that shares a passage with other texts goes through few nodes, and finds the same."""
+    monkeypatch.setattr(neardup, "SMALL", 24)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage, base = [word() for _ in range(30)], [word() for _ in range(60)]
+    docs = []
+    for k in range(300):
+        copy = list(base)
+        copy[rng.randrange(60)] = word()
+        docs += [(2 * k, " ".join(passage + copy)), (2 * k + 1, " ".join(passage + [word() for _ in range(60)]))]
+    join, made = neardup.join_counted, []
+
+    def counted(rows, table, key, *more):
+        out = join(rows, table, key, *more)
+        made.extend([out.count()] if key == "node" else [])
+        return out
+
+    monkeypatch.setattr(neardup, "join_counted", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i if i % 2 else 0 for i, _ in docs}
+    assert sum(made) <= 15_000
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=2, max_size=12))
 def test_exact_links(sets):

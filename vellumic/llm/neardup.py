@@ -7,11 +7,13 @@ three at 80), and for each set a node has a child for each combination of their
 Nodes of up to ``SMALL`` members are compared exhaustively, first on sketches, then on full
 shingle sets.
 
-Larger nodes branch, for up to ``LEVELS`` levels. In what is then still large, a group of
-near copies or what shares many tokens with one, a member, the node's hub, is compared with
-all others, so near copies of it become one component at once. Members that are not linked
-with the hub are then compared with all members, in blocks that are dealt out over tasks, so
-nothing is capped and only the product of the two numbers counts.
+Larger nodes branch, for up to ``LEVELS`` levels. Before they do, a few members of each, the
+node's hubs, are compared with all others, so near copies of them become one component, whose
+least id is their label, at once. Members of one label need not be compared any more: a node
+of one label ends, and so does one in which few members, the others, do not have its most
+frequent label; the others are compared with all members, in blocks that are dealt out over
+tasks. In what is still large behind the last level, hubs are compared once more, and then
+others with all members, so nothing is capped and only the product of the two numbers counts.
 
 Method: T. Christiani, R. Pagh, J. Sivertsen, "Scalable and Robust Set Similarity Join", 2018.
 Recall: a pair at the threshold of 85 percent meets in a small node of a given tree with
@@ -43,6 +45,8 @@ WIDTH = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 TREES, SKETCH, SMALL, LEVELS = 8, 128, 192, 4
+#: Members of a large node that are compared with all its members first.
+HUBS = 4
 #: Probability that a step keeps a pair at the threshold together in a given child, about.
 STEP_KEEPS = 0.52
 #: Share of nodes, in percent, that branch over three sets of tokens and not two.
@@ -83,6 +87,21 @@ def _counted(members: DataFrame, scratch: Scratch) -> DataFrame:
     return join_counted(members, sizes, "node", "c", members.count())
 
 
+def _counted_labels(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """``members`` of nodes that have two labels or more, with the node's size ``c``.
+
+    ``other`` says of a member that it does not have the node's most frequent label, and
+    ``others`` is their number. A member without a label is like no other.
+    """
+    members = scratch.keep(members)
+    sizes = members.groupBy("node", "label").agg(F.count("*").alias("n"))
+    most = F.max(F.when(F.col("label").isNotNull(), F.struct("n", "label")))
+    sizes = sizes.groupBy("node").agg(F.sum("n").alias("c"), most.alias("t"))
+    sizes = sizes.select("node", "c", (F.col("c") - F.coalesce("t.n", F.lit(0))).alias("others"), F.col("t.label").alias("top")).where("c > 1 AND others > 0")
+    found = join_counted(members, sizes, "node", "c", members.count())
+    return found.withColumn("other", F.coalesce(F.col("label") != F.col("top"), F.lit(True))).drop("top")
+
+
 def tokens_of_step(percent: int) -> int:
     """Tokens in a set, so that a pair at the threshold agrees in all with ``STEP_KEEPS``."""
     return max(1, round(math.log(STEP_KEEPS) / math.log(min(percent, 99) / 100)))
@@ -100,70 +119,75 @@ class Search:
     def __init__(self, reps: DataFrame, texts: DataFrame, scratch: Scratch, width: int, percent: int):
         self.reps, self.texts, self.scratch, self.width, self.percent = reps, texts, scratch, width, percent
         self.edges: list[DataFrame] = []
+        self.stars: list[DataFrame] = []
 
     def links(self) -> DataFrame:
         """(a, b): links that join all that may be linked."""
         clusters = _together(self.units()).repartition("unit").sortWithinPartitions("unit").mapInArrow(_sketch_clusters(self.percent), "cluster long, id long")
         self._verify(clusters.distinct().withColumn("hub", F.lit(False)))
-        out = self.edges[0]
-        for edges in self.edges[1:]:
-            out = out.unionByName(edges)
-        return out
+        return _all(self.edges)
 
     def units(self) -> list[DataFrame]:
         """Tables of (unit, id, label, sketch): what has to be compared within each unit of bounded size."""
         level = self.reps.select("id", F.posexplode("keys").alias("tree", "key")).select("id", F.xxhash64("tree", "key").alias("node"))
         level = self.scratch.keep(_counted(level, self.scratch).select("id", "node", "c"))
         sketches = self.reps.select("id", "sketch")
-        done = [_small(level).join(sketches, "id")]
-        large = level.where(F.col("c") > SMALL).join(sketches, "id")
+        done = [_small(level.withColumn("label", F.lit(None).cast("long"))).join(sketches, "id")]
+        large = level.where(F.col("c") > SMALL)
+        if large.isEmpty():
+            return done
+        large = self._labelled(self.scratch.keep(large.join(sketches, "id")))
         for depth in range(2, LEVELS + 1):
-            if large.isEmpty():
-                return done
             three = F.pmod(F.xxhash64("node", F.lit(f"three{depth}")), F.lit(100)) < THREE_SETS
             sets = F.when(three, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
-            child = large.select("id", "sketch", "node", F.explode(sets).alias("s"))
+            child = large.select("id", "sketch", "label", "node", F.explode(sets).alias("s"))
             places = [F.pmod(F.xxhash64("node", "s", F.lit(k), F.lit(depth)), F.lit(SKETCH)).cast("int") for k in range(tokens_of_step(self.percent))]
             values = [F.substring("sketch", 2 * place + 1, F.lit(2)) for place in places]
-            child = child.select("id", "sketch", F.xxhash64("node", "s", *values).alias("node"))
-            level = self.scratch.keep(_counted(child, self.scratch))
+            child = child.select("id", "sketch", "label", F.xxhash64("node", "s", *values).alias("node"))
+            level = self.scratch.keep(_counted_labels(child, self.scratch))
             done.append(_small(level))
-            large = level.where(F.col("c") > SMALL)
-        return done if large.isEmpty() else [*done, self._against_others(self._hubs(large))]
+            beyond = level.where(F.col("c") > SMALL)
+            few, many = beyond.agg(F.count_if(F.col("others") <= SMALL), F.count_if(F.col("others") > SMALL)).first()
+            if few:
+                done.append(self._against_others(beyond.where(F.col("others") <= SMALL)))
+            if not many:
+                return done
+            large = beyond.where(F.col("others") > SMALL)
+        large = self._labelled(large.select("id", "node", "c", "sketch"))
+        return [*done, self._against_others(self.scratch.keep(_counted_labels(large.select("id", "sketch", "label", "node"), self.scratch)))]
 
-    def _hubs(self, large: DataFrame) -> DataFrame:
-        """(id, node, c, label, sketch, other, others): members that are not linked with their node's hub, and their number.
+    def _labelled(self, large: DataFrame) -> DataFrame:
+        """(id, node, c, sketch, label): members, and the least id of what links with hubs join them with, or null.
 
-        Hubs come first in an order that all nodes share, so a group has few of them.
+        Hubs come first in ``HUBS`` orders that all nodes share, so a group has few of them.
         """
-        first = F.min(F.struct(F.xxhash64("id", F.lit("hub")).alias("h"), "id", "sketch"))
-        hubs = large.groupBy("node").agg(first.alias("f"), F.first("c").alias("c")).select("node", F.col("f.id").alias("hub"), F.col("f.sketch").alias("hub_sketch"), "c")
-        members = join_counted(large.select("id", "node", "sketch"), hubs, "node", "c", large.count())
-        members = self.scratch.keep(members.mapInArrow(_near_hub(self.percent), "id long, node long, c long, sketch binary, hub long, near boolean"))
-        pairs = self.scratch.keep(members.where("near").select("hub", "id").distinct())
+        firsts = [F.min(F.struct(F.xxhash64("id", F.lit(f"hub{k}")).alias("h"), "id", "sketch")).alias(f"f{k}") for k in range(HUBS)]
+        hubs = large.groupBy("node").agg(*firsts, F.first("c").alias("n"))
+        hubs = hubs.select("node", "n", F.array(*(F.col(f"f{k}.id") for k in range(HUBS))).alias("hubs"), F.concat(*(F.col(f"f{k}.sketch") for k in range(HUBS))).alias("hub_sketches"))
+        members = join_counted(large.select("id", "node", "sketch"), hubs, "node", "n", large.count())
+        pairs = members.select("id", "sketch", "hubs", "hub_sketches").mapInArrow(_near_hubs(self.percent), "hub long, id long")
+        pairs = self.scratch.keep(pairs.distinct())
         # Members of about SMALL go to one cluster, and the hub to each cluster of its members.
         sizes = pairs.groupBy("hub").agg(F.count("*").alias("n"))
         parts = join_counted(pairs, sizes, "hub", "n", pairs.count())
         parts = parts.select("hub", "id", F.pmod(F.xxhash64("id", F.lit("part")), F.ceil(F.col("n") / SMALL)).alias("part"))
         parts = parts.select(F.xxhash64("hub", "part").alias("cluster"), "hub", "id")
         self._verify(parts.select("cluster", "id", F.lit(False).alias("hub")).unionByName(parts.select("cluster", F.col("hub").alias("id"), F.lit(True).alias("hub")).distinct()))
-        linked = self.edges[-1].select(F.col("a").alias("hub"), F.col("b").alias("id"), F.lit(True).alias("linked")).distinct()
-        other = (F.col("id") != F.col("hub")) & F.col("linked").isNull()
-        members = members.join(linked, ["hub", "id"], "left").select("id", "node", "c", "sketch", other.alias("other"), F.when(other, F.col("id")).otherwise(F.col("hub")).alias("label"))
-        members = self.scratch.keep(members)
-        others = members.where("other").groupBy("node").agg(F.count("*").alias("others"), F.first("c").alias("c"))
-        return join_counted(members.drop("c"), others, "node", "c", members.count())
+        self.stars.append(self.edges[-1])
+        labels = self.scratch.keep(components(_all(self.stars), self.scratch))
+        return self.scratch.keep(large.join(labels.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left"))
 
     @staticmethod
     def _against_others(large: DataFrame) -> DataFrame:
         """Units of about ``SMALL`` other members and ``SMALL`` members: all others meet all members."""
+        large = large.withColumn("label", F.coalesce("label", "id"))
         blocks = lambda size: F.ceil(F.col(size) / SMALL).cast("int")
         block_of = lambda size, name: F.pmod(F.xxhash64("id", F.lit(name)), blocks(size)).cast("int")
         range_of = lambda size: F.sequence(F.lit(0), blocks(size) - 1)
         place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
         as_member = F.transform(range_of("others"), lambda i: place(i, block_of("c", "all")))
         as_other = F.when(F.col("other"), F.transform(range_of("c"), lambda j: place(block_of("others", "other"), j))).otherwise(F.slice(as_member, 1, 0))
-        units = large.select("node", "id", "label", "sketch", F.explode(F.concat(as_member, as_other)).alias("p"))
+        units = large.select("node", "id", "label", "sketch", F.explode(F.array_union(as_member, as_other)).alias("p"))
         return units.select(F.xxhash64("node", "p.i", "p.j").alias("unit"), "id", "label", "sketch")
 
     def _verify(self, clusters: DataFrame) -> None:
@@ -175,27 +199,33 @@ class Search:
 
 
 def _small(level: DataFrame) -> DataFrame:
-    return level.where(F.col("c") <= SMALL).withColumnRenamed("node", "unit").withColumn("label", F.col("id")).drop("c")
+    return level.where(F.col("c") <= SMALL).withColumnRenamed("node", "unit").withColumn("label", F.coalesce("label", "id")).drop("c")
 
 
-def _together(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0].select("unit", "id", "label", "sketch")
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part.select(*out.columns))
+        out = out.unionByName(part)
     return out
 
 
-def _near_hub(percent: int):
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return _all([part.select("unit", "id", "label", "sketch") for part in parts])
+
+
+def _near_hubs(percent: int):
     least = least_agreement(percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, node, c, sketch, hub, near): whether a member may be linked with its node's hub."""
+        """(hub, id): members that may be linked with a hub of their node."""
         for batch in batches:
             if batch.num_rows:
-                own, hubs = (np.frombuffer(b"".join(batch[name].to_pylist()), np.uint16).reshape(-1, SKETCH) for name in ("sketch", "hub_sketch"))
-                near = pa.array((own == hubs).sum(axis=1) >= least)
-                near = pc.and_(near, pc.not_equal(batch["id"], batch["hub"]))
-                yield pa.record_batch([batch["id"], batch["node"], batch["c"], batch["sketch"], batch["hub"], near], ["id", "node", "c", "sketch", "hub", "near"])
+                ids, hubs = batch["id"].to_numpy(), pc.list_flatten(batch["hubs"]).to_numpy().reshape(batch.num_rows, -1)
+                own = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)
+                theirs = np.frombuffer(b"".join(batch["hub_sketches"].to_pylist()), np.uint16).reshape(*hubs.shape, SKETCH)
+                near = np.stack([(own == theirs[:, k]).sum(axis=1) >= least for k in range(hubs.shape[1])], axis=1) & (hubs != ids[:, None])
+                member, k = np.nonzero(near)
+                yield pa.record_batch([hubs[member, k], ids[member]], ["hub", "id"])
 
     return run
 
